@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup
+from corpusloom.llm import binary_output, exact_dedup, packing, pii, secrets, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_simhash": simhash.op3_simhash,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_pii": pii.op7_pii,
+    "op10_token_output": binary_output.op10_token_output,
 }
 
 SQL = {
