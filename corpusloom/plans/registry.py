@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from corpusloom.plans import corpus
+
+QUERIES = {**corpus.QUERIES}
+SQL = {**corpus.SQL}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Keyword scan, hash-chosen template and spans over documents."""
+    return corpus.reflection_spans(spark, sf_dir)
