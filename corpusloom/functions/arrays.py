@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+
 
 def overlap_mask(offsets: Column, spans: Column) -> Column:
     """1 for each token whose [start, end) overlaps a span; tokens of no width never do."""
@@ -34,13 +36,11 @@ def total(a: Column) -> Column:
 
 
 def log_sum_exp(a: Column) -> Column:
-    top = F.array_max(a)
-    return top + F.log(total(F.transform(a, lambda x: F.exp(x - top))))
+    return let(a, lambda v: let(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))))
 
 
 def log_softmax(a: Column) -> Column:
-    z = log_sum_exp(a)
-    return F.transform(a, lambda x: x - z)
+    return let(a, lambda v: let(log_sum_exp(v), lambda z: F.transform(v, lambda x: x - z)))
 
 
 def kl(lp: Column, lq: Column) -> Column:
@@ -50,8 +50,7 @@ def kl(lp: Column, lq: Column) -> Column:
 
 def js(lp: Column, lq: Column) -> Column:
     """Jensen-Shannon divergence in nats."""
-    mid = F.zip_with(lp, lq, lambda p, q: F.log((F.exp(p) + F.exp(q)) / 2))
-    return (kl(lp, mid) + kl(lq, mid)) / 2
+    return let(F.zip_with(lp, lq, lambda p, q: F.log((F.exp(p) + F.exp(q)) / 2)), lambda mid: (kl(lp, mid) + kl(lq, mid)) / 2)
 
 
 def target_logq(lp0: Column, lp_for: Column, lp_ref: Column, alpha: float, clip: float) -> Column:
@@ -62,9 +61,13 @@ def target_logq(lp0: Column, lp_for: Column, lp_ref: Column, alpha: float, clip:
 
 def top_k_tail(lp: Column, k: int) -> Column:
     """struct(ids, logps, tail): the k likeliest (ties to the smaller id) and the log mass of the rest."""
-    ranked = F.array_sort(F.zip_with(lp, F.sequence(F.lit(0), F.size(lp) - 1), lambda p, i: F.struct((-p).alias("n"), i.alias("i"))))
-    top, rest = F.slice(ranked, 1, k), F.slice(ranked, k + 1, F.greatest(F.size(lp) - k, F.lit(0)))
-    return F.struct(F.transform(top, lambda x: x["i"]).alias("ids"), F.transform(top, lambda x: -x["n"]).alias("logps"), F.log(total(F.transform(rest, lambda x: F.exp(-x["n"])))).alias("tail"))
+    ranked = lambda v: F.array_sort(F.zip_with(v, F.sequence(F.lit(0), F.size(v) - 1), lambda p, i: F.struct((-p).alias("n"), i.alias("i"))))
+
+    def cut(r):
+        top, rest = F.slice(r, 1, k), F.slice(r, k + 1, F.greatest(F.size(r) - k, F.lit(0)))
+        return F.struct(F.transform(top, lambda x: x["i"]).alias("ids"), F.transform(top, lambda x: -x["n"]).alias("logps"), F.log(total(F.transform(rest, lambda x: F.exp(-x["n"])))).alias("tail"))
+
+    return let(lp, lambda v: let(ranked(v), cut))
 
 
 def simpo_loss(positive: Column, negative: Column, beta: float, gamma: float) -> Column:

@@ -64,13 +64,13 @@ def kappa(a: Column, b: Column) -> Column:
 def cluster_mean(rows: DataFrame, value: str, cluster: str, by: list[str]) -> DataFrame:
     """Mean of rows with an error that is robust to clusters: k / (k - 1) corrected, null for one cluster."""
     sums = rows.filter(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    total = sums.groupBy(*by).agg(F.sum("s").alias("S"), F.sum("n").alias("N"), F.count("*").alias("k"))
-    on = [sums[c].eqNullSafe(total[c]) for c in by]
-    both = sums.join(total, on) if by else sums.crossJoin(total)  # one row
-    off = F.col("s") - F.col("n") * (F.col("S") / F.col("N"))
-    out = both.groupBy(*[total[c] for c in by], "S", "N", "k").agg(F.sum(off * off).alias("q"))
-    error = F.when(F.col("k") > 1, F.sqrt(F.col("q") * F.col("k") / (F.col("k") - 1)) / F.col("N"))
-    return out.select(*by, (F.col("S") / F.col("N")).alias("mean"), error.alias("se"), F.col("N").alias("n"), F.col("k").alias("clusters"))
+    total = sums.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.sum("s").alias("all"), F.sum("n").alias("rows"), F.count("*").alias("k"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    both = sums.join(total, on) if by else sums.crossJoin(F.broadcast(total))  # one row
+    off = F.col("s") - F.col("n") * (F.col("all") / F.col("rows"))
+    out = both.groupBy(*by, "all", "rows", "k").agg(F.sum(off * off).alias("q"))
+    error = F.when(F.col("k") > 1, F.sqrt(F.col("q") * F.col("k") / (F.col("k") - 1)) / F.col("rows"))
+    return out.select(*by, (F.col("all") / F.col("rows")).alias("mean"), error.alias("se"), F.col("rows").alias("n"), F.col("k").alias("clusters"))
 
 
 def stars(p: Column) -> Column:

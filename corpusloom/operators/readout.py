@@ -32,9 +32,10 @@ def margin_share(scores: DataFrame, score: str, positive: Column, by: list[str],
     """
     moved = scores.withColumn("__x", F.when(positive, F.col(score) - gamma / beta).otherwise(F.col(score))).filter(F.col(score).isNotNull())
     counts = moved.groupBy(*by, "__x").agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    bounds = counts.groupBy(*by).agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"))
-    on = [counts[c].eqNullSafe(bounds[c]) for c in by]
-    placed = (counts.join(F.broadcast(bounds), on) if by else counts.crossJoin(F.broadcast(bounds))).select(*[counts[c] for c in by], "__x", "p", "q", F.floor((F.col("__x") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * slots).alias("slot"))
+    bounds = counts.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    both = counts.join(bounds, on) if by else counts.crossJoin(F.broadcast(bounds))  # one row
+    placed = both.select(*by, "__x", "p", "q", F.floor((F.col("__x") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * slots).alias("slot"))
     below = F.sum("q").over(Window.partitionBy(*by, "slot").orderBy("__x")) - F.col("q")
     inside = placed.withColumn("below", below).groupBy(*by, "slot").agg(F.sum(F.col("p") * F.col("below")).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     before = F.sum("q").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("slot")) - F.col("q")  # slots + 1 rows a group

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import corpus
+from corpusloom.plans import corpus, evals, incremental, sampling
 
-QUERIES = {**corpus.QUERIES}
-SQL = {**corpus.SQL}
+QUERIES = {**corpus.QUERIES, **sampling.QUERIES, **evals.QUERIES, **incremental.QUERIES}
+SQL = {**corpus.SQL, **sampling.SQL, **evals.SQL, **incremental.SQL}
 
 
 def flagship(spark, sf_dir):

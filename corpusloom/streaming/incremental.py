@@ -23,26 +23,26 @@ def unseen(work: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
 def once(rows: DataFrame, keys: list[str], call: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply an expensive call to the distinct requests alone and give each row its answer. call keeps the key columns."""
     answers = call(rows.select(*keys).distinct())
-    on = [rows[k].eqNullSafe(answers[k]) for k in keys]
-    return rows.join(answers, on, "left").select(*[rows[c] for c in rows.columns], *[answers[c] for c in answers.columns if c not in keys])
+    more = [c for c in answers.columns if c not in keys]
+    named = answers.select(*[F.col(k).alias(f"__{k}") for k in keys], *more)
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(named, on, "left").select(*rows.columns, *more)
 
 
 def valid_attempts(log: DataFrame, key: str, attempt: str, order: str, matches: Column) -> DataFrame:
     """Rows whose hashes match and whose attempt follows on: attempt n counts only if n - 1 has counted before it."""
-    w = Window.partitionBy(key).orderBy(order)
     ok = log.filter(matches)
     first = dedup(ok, [key, attempt], [order], "first")
     ordered = first.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(attempt))).withColumn("__later", F.col(order) > F.coalesce(F.lag(order).over(Window.partitionBy(key).orderBy(attempt)), F.lit(-1)))
     good = (F.col(attempt) == F.col("__n")) & F.col("__later")
     unbroken = F.min(good.cast("int")).over(Window.partitionBy(key).orderBy(attempt).rowsBetween(Window.unboundedPreceding, 0))
-    del w
     return ordered.withColumn("__ok", unbroken == 1).filter("__ok").drop("__n", "__later", "__ok")
 
 
 def unit_states(events: DataFrame, unit: str, ok: Column, most_attempts: int) -> DataFrame:
     """(unit, attempts, state): accepted after a success, failed after so many failures, else open."""
     tries = events.groupBy(unit).agg(F.count("*").alias("attempts"), F.bool_or(ok).alias("done"))
-    return tries.select(unit, "attempts", F.when("done", "accepted").when(F.col("attempts") >= most_attempts, "failed").otherwise("open").alias("state"))
+    return tries.select(unit, "attempts", F.when(F.col("done"), "accepted").when(F.col("attempts") >= most_attempts, "failed").otherwise("open").alias("state"))
 
 
 def group_state(states: DataFrame, group: str) -> DataFrame:
