@@ -65,7 +65,7 @@ def same_types(frames: list[DataFrame]) -> T.StructType:
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     same_types(frames)
-    out = frames[0]
+    out = frames[0].select("*")
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
@@ -117,7 +117,7 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str | T.Stru
     if mode == "keep":
         return parsed.select(*names, F.when(bad, F.col("value")).alias("_raw"))
     message = F.concat(F.lit("not a JSON object in "), F.col("_file"), F.lit(": "), F.substring("value", 1, 80))
-    return parsed.select(F.when(bad, F.raise_error(message).cast(fields)).otherwise(F.col("r").cast(fields)).alias("r")).select("r.*")
+    return parsed.select(F.when(bad, F.raise_error(message).cast(fields)).otherwise(F.struct(*names)).alias("r")).select("r.*")
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], sep: str = ",", required: tuple[str, ...] = ()) -> DataFrame:
@@ -183,7 +183,11 @@ def manifest_of(spark: SparkSession, path: str) -> dict | None:
     fs, p = _fs(spark, f"{path}/_manifest.json")
     if not fs.exists(p):
         return None
-    return json.loads(spark.read.text(f"{path}/_manifest.json").first()[0])
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
 
 
 def prepared(spark: SparkSession, path: str, inputs: dict, overwrite: bool = False) -> bool:
