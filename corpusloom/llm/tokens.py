@@ -13,13 +13,21 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
-#: The memo is emptied when it holds this many words (about 100 MB in a Python worker).
-MEMO_WORDS = 500_000
+#: When the memo holds this many words (about 100 MB in a Python worker), those used once or twice go.
+MEMO_WORDS, MEMO_RUNS = 400_000, 250_000
 
+#: The ASCII and Latin-1 letters. Between such a letter and ASCII punctuation or a digit, both patterns cut; so they do
+#: the other way round, but for an apostrophe, which may begin an English ending.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_RUNS = re.compile(rf"(?<=[{_LETTERS}])(?=[!-@\[-`{{-~])|(?<=[!-&(-@\[-`{{-~])(?=[{_LETTERS}])")
+_TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
 _LONE = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
@@ -38,18 +46,41 @@ def _rule(path: str) -> str:
     return "whole"
 
 
-def pieces_of(text: str, rule: str) -> list[str]:
-    """Pieces whose ids, one after the other, are the ids of the text."""
+def pieces_of(text: str, rule: str) -> list[str | tuple[str]]:
+    """Pieces whose ids, one after the other, are the ids of the text. By the rule "space", a string stands for a space and
+    itself, and a tuple for its string as it is."""
     if not text:
         return []
     if rule == "dropped":
-        return [p for p in text.replace("\n", " ").split(" ") if p]
+        return text.replace("\n", " ").split(" ")
     if rule == "space":
         if _LONE.search(text):
-            return [p for p in _BEFORE_WORD.split(text) if p]
+            first, *rest = [p for p in _BEFORE_WORD.split(text) if p]
+            return [first[1:] if first[0] == " " and first[1:2].strip() else (first,), *(p[1:] for p in rest)]
         first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + p for p in rest]
-    return [text]
+        return [(first,), *rest] if first else rest
+    return [(text,)]
+
+
+def _runs_of(piece: str) -> list[str] | tuple[str, ...]:
+    stem = piece.rstrip(_TAIL)
+    if stem and stem[-1] < "\u0250" and (stem[1:] if stem[0] == " " else stem).isalpha():  # most words; as _RUNS would
+        return (stem, piece[len(stem) :]) if len(stem) < len(piece) else (piece,)
+    return _RUNS.split(piece)
+
+
+@cache
+def _byte_letters() -> dict[int, int]:
+    """Byte-level files write bytes as letters: printable ones as themselves, the others from U+0100 on."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in same]
+    return dict(zip(same, same, strict=True)) | {b: 256 + i for i, b in enumerate(other)}
+
+
+def _spelled(piece: str | tuple[str], rule: str) -> str:
+    if rule == "dropped":
+        return piece
+    return piece[0] if isinstance(piece, tuple) else " " + piece
 
 
 class Encoder:
@@ -60,40 +91,95 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.runs = self.tokenizer.model, {}
         self.rule, self.limit = _rule(path), memo_words
-        self._empty()
-
-    def _empty(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str | tuple[str], int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
+        self.start, self.length, self.uses = (np.empty(1 << 14, np.int64) for _ in range(3))
+
+    def _run_ids(self, runs: list[str]) -> list[array]:
+        """Ids of runs. One of letters alone is one pre-token, which the model takes as it is; this saves two thirds of the time."""
+        letters = [bool(_WORD.fullmatch(r)) for r in runs]
+        others = iter(self.tokenizer.encode_batch_fast([r for r, is_word in zip(runs, letters, strict=True) if not is_word], add_special_tokens=False))
+        out, model = [], self.model
+        for run, is_word in zip(runs, letters, strict=True):
+            if not is_word:
+                out.append(array("I", next(others).ids))
+                continue
+            run = run if self.rule == "space" else run.lower()
+            run = run.replace(" ", "Ġ") if run.isascii() else run.encode().decode("latin-1").translate(_byte_letters())
+            out.append(array("I", [t.id for t in model.tokenize(run)]))
+        return out
+
+    def _ids(self, words: list) -> list[array]:
+        spelled = [_spelled(w, self.rule) for w in words]
+        if self.rule == "whole":
+            return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
+        runs = list(map(_runs_of, spelled))
+        missing = list(set(chain.from_iterable(runs)).difference(self.runs))
+        if len(self.runs) + len(missing) > MEMO_RUNS:
+            self.runs.clear()
+            missing = list(set(chain.from_iterable(runs)))
+        self.runs.update(zip(missing, self._run_ids(missing), strict=True))
+        known, out = self.runs, []
+        for parts in runs:
+            if len(parts) == 1:
+                out.append(known[parts[0]])
+            else:
+                ids = array("I")
+                for r in parts:
+                    ids += known[r]
+                out.append(ids)
+        return out
+
+    def _learn(self, words: list) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            new, base = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), len(self.memo)
+            ids = self._ids(part)
+            lengths, base = np.fromiter(map(len, ids), np.int64, len(ids)), len(self.memo)
+            new = np.frombuffer(b"".join(ids), np.uint32)
             while self.used + len(new) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
             while base + len(part) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
+                self.start, self.length, self.uses = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length, self.uses))
             self.flat[self.used : self.used + len(new)] = new
             self.length[base : base + len(part)] = lengths
+            self.uses[base : base + len(part)] = 0
             self.start[base : base + len(part)] = self.used + np.cumsum(lengths) - lengths
             self.used += len(new)
             self.memo.update(zip(part, range(base, base + len(part)), strict=True))
 
+    def _forget(self) -> None:
+        """Words used more than twice stay, if they are at most half of the memo; else none does."""
+        n = len(self.memo)
+        often = np.flatnonzero(self.uses[:n] > 2)
+        often = often if len(often) * 2 <= self.limit else often[:0]
+        words = list(self.memo)
+        self.memo = {words[i]: k for k, i in enumerate(often.tolist())}
+        lengths, starts = self.length[often], self.start[often]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        kept = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+        self.flat[:total], self.used = kept, total
+        self.length[: len(often)], self.start[: len(often)], self.uses[: len(often)] = lengths, ends - lengths, 0
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and each text's number of ids."""
         cut = [pieces_of(t, self.rule) for t in texts]
-        words = [w for c in cut for w in c]
-        new = set(words).difference(self.memo)
-        if len(self.memo) + len(new) > self.limit:
-            self._empty()
-            new = set(words)
-        self._learn(list(new))
-        codes = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        words = list(chain.from_iterable(cut))
+        codes = list(map(self.memo.get, words))
+        if None in codes:
+            new = [i for i, c in enumerate(codes) if c is None]
+            missing = list({words[i] for i in new})
+            if len(self.memo) + len(missing) > self.limit:
+                self._forget()
+                missing, new = list(set(words).difference(self.memo)), range(len(words))
+            self._learn(missing)
+            for i in new:
+                codes[i] = self.memo[words[i]]
+        codes = np.array(codes, np.int64)
+        if len(codes):
+            self.uses[: len(self.memo)] += np.bincount(codes, minlength=len(self.memo))
         lengths, starts = self.length[codes], self.start[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
