@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import corpus, evals, incremental, sampling
+from corpusloom.plans import cards, corpus, evals, incremental, sampling
 
-QUERIES = {**corpus.QUERIES, **sampling.QUERIES, **evals.QUERIES, **incremental.QUERIES}
-SQL = {**corpus.SQL, **sampling.SQL, **evals.SQL, **incremental.SQL}
+QUERIES = {**corpus.QUERIES, **sampling.QUERIES, **evals.QUERIES, **incremental.QUERIES, **cards.QUERIES}
+SQL = {**corpus.SQL, **sampling.SQL, **evals.SQL, **incremental.SQL, **cards.SQL}
 
 
 def flagship(spark, sf_dir):
