@@ -125,7 +125,9 @@ def ngram_list(tokens: Column, n: int) -> Column:
 
     def grams(w):
         last = F.size(w) - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        # get() reads one place; slice() would copy the whole array for each gram.
+        gram = lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(1)) - 1), gram)).otherwise(F.array().cast("array<string>"))
 
     return let(tokens, grams)
 
