@@ -26,7 +26,8 @@ def _total(a: Column) -> Column:
 
 def sums_before(a: Column) -> Column:
     """For each place of an array of longs, the sum of all places before it. Blocks keep very long arrays from quadratic time."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda b: F.slice(a, b * _BLOCK + 1, _BLOCK))
+    inside = lambda b: F.sequence(b * _BLOCK, F.least(b * _BLOCK + _BLOCK, F.size(a)) - 1)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda b: F.transform(inside(b), lambda i: F.get(a, i)))
     offsets = _sums_before(F.transform(blocks, _total))
     long = F.flatten(F.zip_with(F.transform(blocks, _sums_before), offsets, lambda p, o: F.transform(p, lambda x: x + o)))
     return F.when(F.size(a) <= _BLOCK, _sums_before(a)).otherwise(long)
