@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, text_of
+from corpusloom.llm.common import lean, materialize, small_batches, text_of
 from corpusloom.llm.tokens import encoder, in_parts
 
 SEQUENCE, END_ID = 2048, 0
@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInArrow(cut, PIECE + (", ids array<int>" if with_ids else ""))
+    return small_batches(rows).mapInArrow(lean(cut), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -130,7 +130,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     tasks = max(1, -(-rows.count() // PIECES_PER_TASK))
     keys = [c for c in ("doc_id", "piece") if c in rows.columns] or rows.columns
     more = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    packed = materialize(rows.repartition(tasks, *keys).mapInPandas(_pack(capacity), f"{more}, bin long, place long, node long, fill long, up boolean"), "packed")
+    packed = materialize(rows.repartition(tasks, *keys).mapInPandas(lean(_pack(capacity)), f"{more}, bin long, place long, node long, fill long, up boolean"), "packed")
 
     node = "bin long, fill long, node long, up boolean, members array<struct<bin:long,begin:long>>"
     bins = packed.filter("up").groupBy("bin").agg(F.first("fill").alias("fill"), F.first("node").alias("node"))

@@ -15,14 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_of
+from corpusloom.llm.common import lean, small_batches, text_of
 
 WORD_BUCKETS, SHAPE_BUCKETS, DIMENSIONS = 1 << 14, 1 << 12, 32
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
@@ -30,14 +30,14 @@ NONZERO = 4
 TRAIN_ROWS, HELD_OUT_OF, THRESHOLD = 8192, 5, 0.3
 HIDDEN, EPOCHS, BATCH, SEED = 32, 60, 256, 11
 _P = np.uint64(0x9E3779B97F4A7C15)
-_AT_ONCE = 2 << 20
+_AT_ONCE = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_OF == 0
 
 
-@cache
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         inverse = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -139,7 +139,7 @@ def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(total[some, i]) for i in range(DIMENSIONS)]], schema=schema)
 
-    rows = docs.select(text_of(text).alias("text")).mapInArrow(gather, "bucket int, " + ", ".join(f"{n} long" for n in names))
+    rows = small_batches(docs.select(text_of(text).alias("text"))).mapInArrow(lean(gather), "bucket int, " + ", ".join(f"{n} long" for n in names))
     table = rows.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
     out[table["bucket"].to_numpy()] = table[names].to_numpy()
@@ -238,7 +238,7 @@ class QualityModel:
                 x = pooled(shared.value, batch, 2)
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "label", "x"])
 
-        got = chosen.mapInArrow(features, "id long, label int, x array<float>").dropDuplicates(["id"]).toPandas().sort_values("id")
+        got = small_batches(chosen).mapInArrow(lean(features), "id long, label int, x array<float>").dropDuplicates(["id"]).toPandas().sort_values("id")
         x = np.array(got["x"].tolist(), np.float32).reshape(len(got), vectors.shape[1])
         return cls(vectors, fit(x, got["label"].to_numpy()))
 
@@ -254,7 +254,7 @@ class QualityModel:
                 p = network.probability(pooled(vectors, batch, batch.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
 
-        return rows.mapInArrow(score, schema)
+        return small_batches(rows).mapInArrow(lean(score), schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

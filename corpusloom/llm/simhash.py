@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, parallelism, text_of
+from corpusloom.llm.common import lean, materialize, parallelism, small_batches, text_of
 from corpusloom.llm.components import components
 
 WORDS, BITS, SEED = 3, 3, 42
@@ -66,7 +66,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             fps = np.fromiter((fingerprint(shingle_hashes(word_list(t.as_py()), words)) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(of, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    return small_batches(rows).mapInArrow(lean(of), "doc_id long, fp long")
 
 
 def block_masks(bits: int = BITS, blocks: int | None = None) -> list[int]:
@@ -137,7 +138,7 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """From distinct fingerprints (fp, node): edges (a, b) of nodes whose components are those of all close pairs."""
     choice = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(block_masks(bits))]))
     rows = prints.select("fp", "node", choice.alias("c")).select("c.block", "c.key", "fp", "node")
-    return rows.repartition(parallelism(prints.sparkSession), "block", "key").sortWithinPartitions("block", "key").mapInArrow(_links(bits), "a long, b long")
+    return rows.repartition(parallelism(prints.sparkSession), "block", "key").sortWithinPartitions("block", "key").mapInArrow(lean(_links(bits)), "a long, b long")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
