@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     changes; every round is written, so lost executors cost one round. Labels meet neighbours in joins whose two sides are
     both dealt out anew, so a hub can be split.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # a union would find the edges twice
+    both = materialize(edges.filter("a <> b").select(ways.alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
