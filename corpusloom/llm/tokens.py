@@ -19,8 +19,8 @@ from itertools import chain
 
 import numpy as np
 
-#: When the memo holds this many words (about 100 MB in a Python worker), those used once or twice go.
-MEMO_WORDS, MEMO_RUNS = 400_000, 250_000
+#: When the memo holds this many words (about 100 MB in a Python worker; with 400,000 a quarter more were learned again), those used once or twice go.
+MEMO_WORDS, MEMO_RUNS = 690_000, 250_000
 
 #: The ASCII and Latin-1 letters. Between such a letter and ASCII punctuation or a digit, both patterns cut; so they do
 #: the other way round, but for an apostrophe, which may begin an English ending.
@@ -28,6 +28,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _RUNS = re.compile(rf"(?<=[{_LETTERS}])(?=[!-@\[-`{{-~])|(?<=[!-&(-@\[-`{{-~])(?=[{_LETTERS}])")
 _TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD = re.compile(rf" ?[{_LETTERS}]+")
+_ANY_SPACE = re.compile(r"\s")
 _LONE = re.compile(r" (?:\s|\Z)")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
@@ -92,6 +93,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.runs = self.tokenizer.model, {}
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         self.rule, self.limit = _rule(path), memo_words
         self.memo: dict[str | tuple[str], int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
@@ -132,22 +135,41 @@ class Encoder:
                 out.append(ids)
         return out
 
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and lengths of words without white space by the rule "space", a hundred words a text: each word's first token, and no
+        other, is spelled with a space. None if the tokens say otherwise."""
+        texts = [" " + " ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+        first = np.flatnonzero(self.spaced[flat])
+        if len(first) != len(words) or (len(flat) and first[0]):
+            return None
+        return flat, np.diff(first, append=len(flat))
+
     def _learn(self, words: list) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
+            if self.rule == "space":
+                plain = [w for w in part if isinstance(w, str) and w and not _ANY_SPACE.search(w)]
+                got = self._joined(plain) if plain else None
+                if got is not None:
+                    self._add(plain, *got)
+                    part = [w for w in part if not (isinstance(w, str) and w and not _ANY_SPACE.search(w))]
             ids = self._ids(part)
-            lengths, base = np.fromiter(map(len, ids), np.int64, len(ids)), len(self.memo)
-            new = np.frombuffer(b"".join(ids), np.uint32)
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while base + len(part) > len(self.start):
-                self.start, self.length, self.uses = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length, self.uses))
-            self.flat[self.used : self.used + len(new)] = new
-            self.length[base : base + len(part)] = lengths
-            self.uses[base : base + len(part)] = 0
-            self.start[base : base + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(new)
-            self.memo.update(zip(part, range(base, base + len(part)), strict=True))
+            self._add(part, np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _add(self, words: list, new: np.ndarray, lengths: np.ndarray) -> None:
+        base = len(self.memo)
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while base + len(words) > len(self.start):
+            self.start, self.length, self.uses = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length, self.uses))
+        self.flat[self.used : self.used + len(new)] = new
+        self.length[base : base + len(words)] = lengths
+        self.uses[base : base + len(words)] = 0
+        self.start[base : base + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(new)
+        self.memo.update(zip(words, range(base, base + len(words)), strict=True))
 
     def _forget(self) -> None:
         """Words used more than twice stay, if they are at most half of the memo; else none does."""
@@ -195,7 +217,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_parts(texts: list[str], most: int = 2_000_000):
+def in_parts(texts: list[str], most: int = 1_000_000):
     """Slices of a list of texts that hold about so many characters each, and one text at least."""
     at = 0
     while at < len(texts):
