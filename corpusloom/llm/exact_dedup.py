@@ -1,7 +1,7 @@
 r"""Exact dedup by content-defined chunk recipes, on DataFrame functions alone.
 
-1. Every normalised text is cut where its content says so (the first boundary character after 256
-   characters, 2,048 at most), so equal texts have equal chunks.
+1. Every normalised text is cut where its content says so (a boundary character before certain
+   others, after 64 characters, 2,048 at most), so equal texts have equal chunks.
 2. Chunks are deduplicated by digest, map-side first. The dictionary compares the chunk texts under each digest;
    a digest with one text is a verified identifier. If any digest holds two texts, all identifiers are widened.
 3. A document becomes its ordered identifier list (its recipe, about 5 % of its bytes). Only recipes are grouped and
@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import ASCII_SPACE, materialize, text_of
 
-#: A chunk ends with the first boundary character after MIN_CHUNK characters, or at MAX_CHUNK.
-MIN_CHUNK, MAX_CHUNK = 256, 2048
+#: A chunk ends with the first boundary after MIN_CHUNK characters, or at about MAX_CHUNK: it depends on what stands there, so an edit moves
+#: the chunks next to it and no others. A boundary is a boundary character before one of NEXT, about every 200 characters.
+MIN_CHUNK, MAX_CHUNK, NEXT = 64, 2048, "aehtAEHT"
 #: The boundary characters. ASCII alone: a regex tests those by a bit set, others one by one (five times the
 #: time measured). A text without them is cut at MAX_CHUNK, which is as exact.
 BOUNDARY = ".!?;:|"
 
-CHUNK = f"(?s).{{{MIN_CHUNK}}}[^{BOUNDARY}]{{0,{MAX_CHUNK - MIN_CHUNK - 1}}}+[{BOUNDARY}]?|.+"
+CHUNK = f"(?s).{{{MIN_CHUNK}}}(?:[^{BOUNDARY}]{{1,32}}+|[{BOUNDARY}](?![{NEXT}])){{0,{(MAX_CHUNK - MIN_CHUNK) // 32 - 1}}}+[{BOUNDARY}]?|.+"
 
 
 def normalized(text: Column) -> Column:
@@ -89,15 +90,14 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input's rows and columns without all but one copy of each text. Rows that repeat an id and text give one row."""
+    """The input's rows and columns without all but one copy of each text. An id's other texts stay; rows that repeat an id and text give one row."""
     verdict = exact_dedup(docs, doc_id, text)
-    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.lit(True).alias("__drop"))
-    left = docs.join(gone.dropDuplicates(["__gone"]), F.col(doc_id) == F.col("__gone"), "left_anti")
-    again = verdict.filter("kept").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not again:
-        return left
-    # An id that is kept more than once: the copies beyond the first go by id and text.
-    return left.withColumn("__n", normalized(text_of(text))).dropDuplicates([doc_id, "__n"]).drop("__n")
+    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
+    marked = docs.withColumn("__sha", F.sha2(normalized(text_of(text)).cast("binary"), 256))
+    left = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
+    if verdict.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count():
+        left = left.dropDuplicates([doc_id, "__sha"])  # only where an id and text come more than once
+    return left.drop("__sha")
 
 
 def op1_exact_dedup(spark, sf_dir):

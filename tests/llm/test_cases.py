@@ -46,7 +46,9 @@ def test_exact_groups(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
     kept = exact_dedup.keep_exact(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [3, 6, 7, 8, 9]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 6, 7, 8, 9]
+    twice = docs.unionByName(docs.filter("doc_id = 5").withColumn("text", exact_dedup.F.lit("another")))  # an id's other text stays
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_exact(twice).collect()) == [3, 5, 6, 7, 8, 9]
     assert exact_dedup.keep_exact(none).count() == 0
 
 
