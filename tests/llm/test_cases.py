@@ -256,3 +256,39 @@ def test_spanning_forest_prefers_the_closest():
     codes = np.array([0, 0b111, 0b1, 0xFFFF << 20], np.uint64)
     edges = near_dedup.spanning_forest(codes, np.zeros(4, np.uint64), 3)
     assert {frozenset(e) for e in edges} == {frozenset((0, 2)), frozenset((1, 2))}
+
+
+def groups_by_brute_force(texts):
+    """The ids that stay: the smallest of each group over all pairs with a similarity of 0.8 or more."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := t.split())}
+    parent = {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common / (len(sets[a]) + len(sets[b]) - common) >= 0.8:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return [i for i in sorted(texts) if root(i) == i]
+
+
+def test_near_copies_in_a_family_around_the_similarity(spark):
+    r = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for family in range(2):
+        base = r.choice(words, 300).tolist()
+        for i in range(120):
+            c = list(base)
+            for at in r.choice(300, r.integers(4, 6), replace=False):
+                c[at] = f"new{r.integers(1 << 40)}"
+            texts[family * 1000 + i] = " ".join(c)
+    left = near_dedup.keep_near(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    want = groups_by_brute_force(texts)
+    assert 2 < len(want) < 200 and sorted(x["doc_id"] for x in left.collect()) == want
