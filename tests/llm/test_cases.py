@@ -292,3 +292,21 @@ def test_near_copies_in_a_family_around_the_similarity(spark):
     left = near_dedup.keep_near(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     want = groups_by_brute_force(texts)
     assert 2 < len(want) < 200 and sorted(x["doc_id"] for x in left.collect()) == want
+
+
+def test_near_copies_with_a_passage_added_cut_or_edited(spark):
+    r = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for i in range(90):
+        n = int(r.integers(60, 400))
+        base = r.choice(words, n).tolist()
+        more, less, edits = int((n - 4) / 0.8) - (n - 4), (n - 4) - int(np.ceil((n - 4) * 0.8)), max(1, n // 50)
+        copy = list(base)
+        for at in r.choice(n, edits, replace=False):
+            copy[at] = "edited"
+        texts[2 * i] = " ".join(base)
+        texts[2 * i + 1] = " ".join([base + [f"x{i}y{k}" for k in range(more)], base[: n - less], copy][i % 3])
+    left = near_dedup.keep_near(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    want = groups_by_brute_force(texts)
+    assert len(want) < 125 and sorted(x["doc_id"] for x in left.collect()) == want
