@@ -99,13 +99,26 @@ def round_robin(rows: DataFrame, kind: str, dimension: str, order: Column) -> Da
     return ranked.withColumn("position", F.row_number().over(Window.partitionBy(kind).orderBy("__r", F.desc("__n"), dimension))).drop("__r", "__n")
 
 
-def family_holdouts(rows: DataFrame, family: str, key: str, share: float, seed: int, most: int) -> DataFrame:
-    """About share of all keys, spread over families: each family's first by hash, then its second, and so on."""
+def family_holdouts(rows: DataFrame, family: str, key: str, share: float, seed: int) -> DataFrame:
+    """About share of all keys, spread over families: each family's first by hash, then its second, and so on.
+
+    Whole turns come from counts by turn, and the last, partial turn has one key a family at most.
+    """
     order = X.digest(seed, "holdout", F.col(key))
     ranked = rows.withColumn("in_family", F.row_number().over(Window.partitionBy(family).orderBy(order, key)))
-    size = F.bround(F.count("*").over(Window.partitionBy(F.lit(0))) * share)
-    # A pool of most rows is asked for, and the pool is one row a key.
-    return ranked.withColumn("__k", size).withColumn("__r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("in_family", order, key))).filter((F.col("__r") <= F.col("__k")) & (F.col("__r") <= most)).drop("__k", "__r")
+    sizes = rows.groupBy(family).agg(F.count("*").alias("__n")).groupBy("__n").agg(F.count("*").alias("__families"))
+    # Families of a size: all turns up to it hold them, so the first k keys end in the turn that the sizes give.
+    size = {int(r["__n"]): int(r["__families"]) for r in sizes.collect()}
+    left = int(sizes.agg(F.bround(F.coalesce(F.sum(F.col("__n") * F.col("__families")), F.lit(0)) * F.lit(share))).first()[0])
+    families, before, turn = sum(size.values()), 0, 0
+    for n in sorted(size):
+        whole = min((n - before), left // families)
+        turn, left = turn + whole, left - whole * families
+        if whole < n - before:
+            break
+        before, families = n, families - size[n]
+    part = ranked.filter(F.col("in_family") == turn + 1).orderBy(order, key).limit(left)
+    return ranked.filter(F.col("in_family") <= turn).unionByName(part)
 
 
 def unique_names(rows: DataFrame, name: str, order: str, by: list[str]) -> DataFrame:

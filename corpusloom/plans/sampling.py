@@ -145,7 +145,7 @@ SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_type ORDER BY r, n DESC
 
 
 def family_holdouts(spark, d):
-    return sample.family_holdouts(t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", "s_suppkey", 0.15, SEED, 10_000).select("s_suppkey", "in_family")
+    return sample.family_holdouts(t(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", "s_suppkey", 0.15, SEED).select("s_suppkey", "in_family")
 
 
 FAMILY_HOLDOUTS = """

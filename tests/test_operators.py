@@ -1,5 +1,6 @@
 """Checks, repair, interfaces and small cases of the operators."""
 
+import hashlib
 import re
 
 import pytest
@@ -116,3 +117,15 @@ def test_values_are_computed_once(spark):
 
     spark.range(1).select(X.let(slow("id"), lambda v: F.transform(v, lambda x: x + F.size(v))).alias("x")).collect()
     assert calls.value == 1
+
+
+@pytest.mark.parametrize("n,families", [(80_000, 7), (80_000, 30_000), (40, 3), (3, 3), (0, 1)])
+def test_family_holdouts_have_their_whole_share(spark, tmp_path, n, families):
+    rows = spark.range(n).selectExpr("id AS s_suppkey", f"CAST(id * id % {families} AS INT) AS s_nationkey")
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    got = [(r["s_suppkey"], r["in_family"]) for r in registry.QUERIES["family_holdouts"](spark, str(tmp_path)).collect()]
+    of = {}
+    for i in sorted(range(n), key=lambda i: (hashlib.sha256(f"42:holdout:{i}".encode()).hexdigest(), i)):
+        of.setdefault(i * i % families, []).append(i)
+    turns = [(k, hashlib.sha256(f"42:holdout:{i}".encode()).hexdigest(), i) for ids in of.values() for k, i in enumerate(ids, 1)]
+    assert sorted(got) == sorted((i, k) for k, _, i in sorted(turns)[: round(n * 0.15)])
