@@ -337,7 +337,7 @@ SELECT reflected, count(*) AS rows, CAST(sum(least(words, 300)) AS BIGINT) AS to
 
 
 def shared_prefix(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "source", F.slice(X.whitespace_words(F.col("text")), 1, 50).alias("w"))
+    docs = t(spark, d, "documents").select("doc_id", "source", X.whitespace_words(F.col("text")).alias("w"))
     before = docs.withColumn("p", F.lag("w").over(Window.partitionBy("source").orderBy("w", "doc_id"))).filter("p IS NOT NULL")
     return before.select("doc_id", A.common_prefix(F.col("p"), F.col("w")).alias("shared")).groupBy("shared").agg(F.count("*").alias("n"))
 

@@ -63,3 +63,20 @@ def test_results_do_not_depend_on_partitioning(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     seen = {tuple(sorted((r["doc_id"], r["reflection"]) for r in annotate.reflect(docs.repartition(n), TOPICS, PREFERENCES, TEMPLATES).collect())) for n in (1, 7, 64)}
     assert len(seen) == 1
+
+
+def test_shared_prefix_by_brute_force(spark, tmp_path):
+    import random
+    from collections import Counter
+
+    r = random.Random(4)
+    base = [f"w{r.randint(0, 99)}" for _ in range(300)]
+    rows = [(i, "st"[i % 2], " ".join(base[: r.randint(0, 300)] + [r.choice("abc")] * r.randint(0, 2))) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for source in "st":
+        texts = [w for w, _ in sorted((t.split(), i) for i, s, t in rows if s == source)]
+        for a, b in zip(texts, texts[1:], strict=False):
+            want[next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))] += 1
+    assert max(want) > 50
+    assert {x["shared"]: x["n"] for x in registry.QUERIES["shared_prefix"](spark, str(tmp_path)).collect()} == want
