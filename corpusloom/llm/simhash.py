@@ -7,7 +7,8 @@ buckets. Within a bucket Hamming distances are verified from one member at a tim
 and members are linked to their component's first: as many edges as members, never all pairs.
 
 Defined cases: null and blank texts have fingerprint zero, which links like any other; texts with fewer words than a shingle
-have their whole word sequence as one; repeated rows count each; an empty table gives an empty result; extra columns are ignored.
+have their whole word sequence as one; repeated rows count each; rows without an id link like any other but name no component
+(null, if no row of it has an id); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,9 +145,12 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row per input row: doc_id, fp, component_id (the smallest doc_id reachable over links, itself included)."""
     each = materialize(fingerprints(docs, doc_id, text, words), "fingerprints")
-    prints = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("node")), "prints")
-    found = components(linked(prints, bits))
-    classes = materialize(prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+    # Nodes are the fingerprints themselves: ids may be null or repeat.
+    prints = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    found = components(linked(prints.select("fp", F.col("fp").alias("node")), bits)).withColumnRenamed("node", "fp")
+    placed = materialize(prints.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "placed")
+    least = materialize(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    classes = materialize(placed.join(least, "component").select("fp", "component_id"), "classes")
     return each.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
