@@ -7,8 +7,10 @@
    held-out fifth; a temperature fitted on a part it has not seen makes its outputs probabilities.
 
 Labels, lang, source and doc_id are never inputs. Defined cases: null text is empty, and empty texts score by the zero vector;
-repeated rows get a row each; an empty table gives an empty result; without labels of both kinds the score is their
-share (0.5 without any); extra columns are ignored.
+repeated rows get a row each; a labelled id with several texts is learned from the least of them; an empty table gives an empty
+result; without labels of both kinds the score is their share (0.5 without any); a text of more than AT_ONCE bytes is counted in parts
+that end with a word, and a word of more than that is several; extra columns stay as they are, whatever their names, but one that is called
+like the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.llm.common import lean, small_batches, text_of
+from corpusloom.llm.common import free_name, lean, small_batches, text_of
 
 WORD_BUCKETS, SHAPE_BUCKETS, DIMENSIONS = 1 << 14, 1 << 12, 32
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
@@ -30,7 +33,8 @@ NONZERO = 4
 TRAIN_ROWS, HELD_OUT_OF, THRESHOLD = 8192, 5, 0.3
 HIDDEN, EPOCHS, BATCH, SEED = 32, 60, 256, 11
 _P = np.uint64(0x9E3779B97F4A7C15)
-_AT_ONCE = 1 << 20
+#: Bytes of text that are looked at together.
+AT_ONCE = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -94,19 +98,31 @@ def buckets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows with about _AT_ONCE bytes of text: first row, end, buffer, offsets."""
+    """Runs of rows with about AT_ONCE bytes of text, a longer text alone: first row, end, buffer, offsets."""
     texts = batch.column(column).cast(pa.large_string())
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _AT_ONCE)) - 1)
-        end = min(end, len(texts))
+        end = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + AT_ONCE)) - 1), len(texts))
         yield at, end, data, offsets[at : end + 1]
         at = end
 
 
+def _bucket_counts(data: np.ndarray) -> np.ndarray:
+    """How often each bucket stands in one long text, in parts of about AT_ONCE bytes that end with a word."""
+    space, out, a = _tables()[0], np.zeros(BUCKETS, np.int64), 0
+    while a < len(data):
+        b = min(a + AT_ONCE, len(data))
+        if b < len(data):
+            cut = np.flatnonzero(space[data[a:b]])
+            b = a + int(cut[-1]) + 1 if len(cut) else b
+        out += np.bincount(buckets_of(data, np.array([a, b]))[0], minlength=BUCKETS)
+        a = b
+    return out
+
+
 def index_vectors(seed: int = SEED) -> np.ndarray:
     """A sparse ternary vector for each bucket."""
     r = np.random.default_rng(seed)
@@ -125,9 +141,14 @@ def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         total = np.zeros(BUCKETS * DIMENSIONS)
         for batch in batches:
             for at, end, data, offsets in _slices(batch, 0):
-                bucket, row = buckets_of(data, offsets)
-                pairs = np.unique(row * BUCKETS + bucket)
-                row, bucket = pairs // BUCKETS, pairs % BUCKETS
+                if offsets[-1] - offsets[0] > AT_ONCE:
+                    bucket = np.flatnonzero(_bucket_counts(data[offsets[0] : offsets[-1]]))
+                    row = np.zeros(len(bucket), np.int64)
+                else:
+                    bucket, row = buckets_of(data, offsets)
+                    pairs = np.sort(row * BUCKETS + bucket)
+                    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+                    row, bucket = pairs // BUCKETS, pairs % BUCKETS
                 # A document's own index vector, from how its buckets add up.
                 with np.errstate(over="ignore"):
                     own = _mixed(np.bincount(row, weights=bucket, minlength=end - at).astype(np.uint64) + np.uint64(SEED))
@@ -156,6 +177,10 @@ def pooled(vectors: np.ndarray, batch: pa.RecordBatch, column: int) -> np.ndarra
     """The mean vector of each text's buckets; zero for a text without words."""
     out = np.zeros((batch.num_rows, vectors.shape[1]), np.float32)
     for at, end, data, offsets in _slices(batch, column):
+        if offsets[-1] - offsets[0] > AT_ONCE:
+            counts = _bucket_counts(data[offsets[0] : offsets[-1]])
+            out[at] = counts @ vectors / max(counts.sum(), 1)
+            continue
         bucket, row = buckets_of(data, offsets)
         half = len(bucket) // 2
         if not half:
@@ -230,7 +255,7 @@ class QualityModel:
         vectors = word_vectors(docs, text)
         known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).cast("int").alias("__label"))
         sample = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)  # bounded, so it may be broadcast
-        chosen = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("text")).join(F.broadcast(sample), "__id").select("__id", "__label", "text")
+        chosen = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("text")).join(F.broadcast(sample), "__id").groupBy("__id").agg(F.min("__label").alias("__label"), F.min("text").alias("text"))
         shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,34 +263,33 @@ class QualityModel:
                 x = pooled(shared.value, batch, 2)
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "label", "x"])
 
-        got = small_batches(chosen).mapInArrow(lean(features), "id long, label int, x array<float>").dropDuplicates(["id"]).toPandas().sort_values("id")
+        got = small_batches(chosen).mapInArrow(lean(features), "id long, label int, x array<float>").toPandas().sort_values("id")
         x = np.array(got["x"].tolist(), np.float32).reshape(len(got), vectors.shape[1])
         return cls(vectors, fit(x, got["label"].to_numpy()))
 
-    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """The input's rows and columns with score added."""
+    def score(self, docs: DataFrame, text: str = "text", column: str = "score") -> DataFrame:
+        """The input's rows and columns with the score added; an input column of that name is replaced."""
         shared, spark = docs.sparkSession.sparkContext.broadcast((self.vectors, self.network)), docs.sparkSession
-        rows = docs.withColumn("__text", text_of(text))
-        schema = spark.createDataFrame([], docs.schema).withColumn("score", F.lit(0.0)).schema
+        kept = [c for c in docs.columns if c.lower() != column.lower()]
+        rows = docs.select(*[F.col(f"`{c}`") for c in kept], text_of(text).alias(free_name(docs, "scored_text")))
+        schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(column, T.DoubleType())])
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vectors, network = shared.value
             for batch in batches:
                 p = network.probability(pooled(vectors, batch, batch.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], column])
 
         return small_batches(rows).mapInArrow(lean(score), schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows that the classifier does not reject, with the input's columns."""
-    scored = QualityModel.train(docs, labels, text=text).score(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, text)
-    out = scored.filter(F.col("score") >= threshold).drop("score")
-    return out.withColumnRenamed("__score", "score") if "__score" in out.columns else out
+    column = free_name(docs, "score")
+    return QualityModel.train(docs, labels, text=text).score(docs, text, column).filter(F.col(column) >= threshold).drop(column)
 
 
 def op9_quality(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = QualityModel.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    ids = docs.select("doc_id", "text")
-    return model.score(ids).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return model.score(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
