@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import lean, scratch, small_batches, text_of
-from corpusloom.llm.tokens import encoder, in_parts
+from corpusloom.llm.tokens import encoder, row_parts
 
 END_ID = 2
 ROW = "doc_id long, part int, first long, n int, ids array<int>"
@@ -36,7 +36,7 @@ def token_rows(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
         part, before, ids_of = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
         for batch in batches:
             keys = batch.column(0)
-            for at, texts in in_parts(batch.column(1).to_pylist()):
+            for at, texts in row_parts(batch.column(1)):
                 ids, counts = ids_of(texts)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids.astype(np.int32), ends, end_id)

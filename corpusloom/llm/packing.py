@@ -7,6 +7,9 @@
    Two bins over half full can't meet, and a task holds at most one that is not, so a group needs to hand on that one and its
    FAN_IN emptiest others: what meets at any node is bounded by FAN_IN * (FAN_IN + 1) bins, at any input.
 
+pack() places pieces and moves their lengths alone. pack_sequences() makes the sequences themselves: ids move once, to the task
+that fills its bins with them, and only what goes up the tree moves again.
+
 Defined cases: null text is empty and has the end id alone; repeated rows are packed each for itself; ties go to the longer
 waiting bin; an empty table gives an empty result; extra columns are ignored.
 """
@@ -24,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import lean, materialize, small_batches, text_of
-from corpusloom.llm.tokens import encoder, in_parts
+from corpusloom.llm.tokens import encoder, row_parts
 
 SEQUENCE, END_ID = 2048, 0
-#: Pieces that one task packs: a few MB.
-PIECES_PER_TASK = 100_000
+#: Pieces that one task packs without ids, and ids that one task packs: a few MB, and 16 MB.
+PIECES_PER_TASK, IDS_PER_TASK = 100_000, 4_000_000
 FAN_IN = 8
 #: A bin with at most this many places left is not handed on.
 NEARLY_FULL = 0
@@ -45,7 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         encode = encoder(tokenizer).encode
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for at, texts in in_parts(batch.column(1).to_pylist()):
+            for at, texts in row_parts(batch.column(1)):
                 ids, counts = encode(texts)
                 ids, ends = ids.astype("<u4"), np.cumsum(counts)
                 out = []
@@ -123,19 +126,16 @@ def _merge(capacity: int):
     return merge
 
 
-def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
-    """Pieces (any columns, with a length of 1 to capacity) with sequence_id and offset added."""
-    spark = pieces.sparkSession
-    rows = materialize(pieces, "pieces")
-    tasks = max(1, -(-rows.count() // PIECES_PER_TASK))
-    keys = [c for c in ("doc_id", "piece") if c in rows.columns] or rows.columns
-    more = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    packed = materialize(rows.repartition(tasks, *keys).mapInPandas(lean(_pack(capacity)), f"{more}, bin long, place long, node long, fill long, up boolean"), "packed")
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Pieces as a written table with a number for each row, by which they are dealt evenly, whatever their ids."""
+    return materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+
 
+def _tree(bins: DataFrame, capacity: int) -> DataFrame:
+    """From bins (bin, fill, node): bin, sequence_id, begin, after best fit from node to node up to the root."""
     node = "bin long, fill long, node long, up boolean, members array<struct<bin:long,begin:long>>"
-    bins = packed.filter("up").groupBy("bin").agg(F.first("fill").alias("fill"), F.first("node").alias("node"))
     level = bins.withColumn("members", F.array(F.struct("bin", F.lit(0).cast("long").alias("begin")))).withColumn("up", F.lit(True))
-    done, nodes = [], packed.agg(F.max("node")).first()[0] or 0
+    done, nodes = [], bins.agg(F.max("node")).first()[0] or 0
     while True:
         nodes //= FAN_IN
         level = materialize(
@@ -148,25 +148,75 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     moved = done[0]
     for d in done[1:]:
         moved = moved.unionByName(d)
-    moved = moved.select(F.col("bin").alias("sequence_id"), F.explode("members").alias("m")).select("sequence_id", F.col("m.bin").alias("bin"), F.col("m.begin").alias("begin"))
+    return moved.select(F.col("bin").alias("sequence_id"), F.explode("members").alias("m")).select("sequence_id", F.col("m.bin").alias("bin"), F.col("m.begin").alias("begin"))
+
+
+def pack(pieces: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
+    """Pieces (any columns, with a length of 1 to capacity) with sequence_id and offset added."""
+    rows = _numbered(pieces)
+    tasks = max(1, -(-rows.count() // PIECES_PER_TASK))
+    more = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    packed = materialize(rows.repartition(tasks, "__row").mapInPandas(lean(_pack(capacity)), f"{more}, bin long, place long, node long, fill long, up boolean"), "packed")
+    moved = _tree(packed.filter("up").groupBy("bin").agg(F.first("fill").alias("fill"), F.first("node").alias("node")), capacity)
     return packed.join(moved, "bin", "left").select(
-        *rows.columns, F.coalesce("sequence_id", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("begin", F.lit(0))).alias("offset")
+        *pieces.columns, F.coalesce("sequence_id", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("begin", F.lit(0))).alias("offset")
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """Documents packed into sequences: one row per piece with its ids, sequence_id and offset."""
-    return pack(token_pieces(docs, tokenizer, doc_id, text, with_ids=with_ids))
+def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents packed into sequences: one row per piece with its place, sequence_id and offset."""
+    return pack(token_pieces(docs, tokenizer, doc_id, text))
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids, and where each document begins in them."""
-    inside = F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_id", "piece")))  # SEQUENCE pieces at most
-    return packed.groupBy("sequence_id").agg(inside.alias("p")).select("sequence_id", F.flatten("p.ids").alias("ids"), F.arrays_zip(F.col("p.doc_id").alias("doc_id"), F.col("p.offset").alias("offset")).alias("documents"))
+DOCUMENT = "struct<doc_id:long,piece:int,start:long,offset:long,length:long>"
+
+
+def _fill(capacity: int):
+    kind = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
+    schema = pa.schema([("bin", pa.int64()), ("node", pa.int64()), ("fill", pa.int64()), ("up", pa.bool_()), ("ids", pa.list_(pa.int32())), ("documents", pa.list_(kind))])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, piece, start, length, ids), a few million ids in all: one row per bin."""
+        given = [b for b in batches if b.num_rows]
+        if not given:
+            return
+        task, rows = TaskContext.get().partitionId(), pa.Table.from_batches(given)
+        sizes = rows["length"].to_numpy()
+        bins, places, filled = best_fit(sizes, capacity)
+        up = np.zeros(len(filled), bool)
+        up[handed_on(np.array(filled), capacity)] = True
+        order = np.lexsort((places, bins))
+        rows = rows.take(pa.array(order)).combine_chunks()
+        upto = np.searchsorted(bins[order], np.arange(len(filled) + 1))  # each bin's pieces
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        flat = rows["ids"].combine_chunks().flatten()
+        ids = pa.ListArray.from_arrays(pa.array(ends[upto], pa.int32()), flat)
+        inside = pa.StructArray.from_arrays([*(rows[c].combine_chunks() for c in ("doc_id", "piece", "start")), pa.array(places[order]), rows["length"].combine_chunks()], fields=list(kind))
+        documents = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), inside)
+        number = np.arange(len(filled)) + (task << 32)
+        out = [pa.array(number), pa.array(np.full(len(filled), task)), pa.array(np.array(filled, np.int64)), pa.array(up), ids, documents]
+        whole = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        for at in range(0, len(filled), 256):
+            yield whole.slice(at, 256)
+
+    return fill
+
+
+def pack_sequences(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+    """The sequences: sequence_id, ids, documents (doc_id, piece, start in the document, offset in the sequence, length), in order."""
+    rows = _numbered(token_pieces(docs, tokenizer, doc_id, text, size, end_id, with_ids=True))
+    tasks = max(1, -(-(rows.agg(F.sum("length")).first()[0] or 0) // IDS_PER_TASK))
+    dealt = rows.select("__row", "doc_id", "piece", "start", "length", "ids").repartition(tasks, "__row").drop("__row")
+    bins = materialize(dealt.mapInArrow(lean(_fill(size)), f"bin long, node long, fill long, up boolean, ids array<int>, documents array<{DOCUMENT}>"), "bins")
+    moved = _tree(bins.filter("up").select("bin", "fill", "node"), size)
+    parts = F.sort_array(F.collect_list(F.struct("begin", "ids", "documents")))  # the bins of one sequence
+    shifted = F.transform("p", lambda b: F.transform(b["documents"], lambda d: d.withField("offset", d["offset"] + b["begin"])))
+    merged = bins.filter("up").join(moved, "bin").groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.flatten("p.ids").alias("ids"), F.flatten(shifted).alias("documents"))
+    return bins.filter("not up").select(F.col("bin").alias("sequence_id"), "ids", "documents").unionByName(merged)
 
 
 def op2_best_fit_packing(spark, sf_dir):
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

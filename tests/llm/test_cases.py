@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from corpusloom.llm import binary_output, exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, secrets, simhash, topk
 from corpusloom.llm.common import scratch
@@ -13,7 +14,7 @@ from corpusloom.llm.common import scratch
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 LONG = "lorem ipsum dolor " * 40_000
 SCHEMA = "doc_id long, text string, source string, score double, keep_id string, bin long, recipe string, place long, node string, component string, fp string"
-ROWS = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "ab"), (5, "ab"), (6, "a  b"), (7, LONG), (8, LONG + "x"), (None, "ab"), (9, "😀 é token = abcdefgh 1.2.3.4")]
+ROWS = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "ab"), (5, "ab"), (6, "a  b"), (7, LONG), (8, LONG + "x"), (None, "ab"), (9, "😀 é token = abcdefgh 1.2.3.4"), (10, "a <|endoftext|> b")]
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +29,7 @@ def none(spark):
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.createDataFrame([(i, i % 2) for i in range(1, 10)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    return spark.createDataFrame([(i, i % 2) for i in range(1, 11)] + [(None, 1), (3, None)], "doc_id long, quality int")
 
 
 def by_id(df):
@@ -46,9 +47,9 @@ def test_exact_groups(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
     kept = exact_dedup.keep_exact(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 6, 7, 8, 9]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 6, 7, 8, 9, 10]
     twice = docs.unionByName(docs.filter("doc_id = 5").withColumn("text", exact_dedup.F.lit("another")))  # an id's other text stays
-    assert sorted(r["doc_id"] for r in exact_dedup.keep_exact(twice).collect()) == [3, 5, 6, 7, 8, 9]
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_exact(twice).collect()) == [3, 5, 6, 7, 8, 9, 10]
     assert exact_dedup.keep_exact(none).count() == 0
 
 
@@ -88,16 +89,46 @@ def test_packing(docs, none):
     got = packing.pack_documents(docs, WORD).collect()
     assert check_packing(got, packing.SEQUENCE) >= 1
     assert [r["length"] for r in got if r["doc_id"] == 1] == [1] and sum(r["doc_id"] == 5 for r in got) == 2
-    encode = packing.encoder(WORD).tokenizer.encode
+    encode = Tokenizer.from_file(WORD).encode
     ids = encode(LONG, add_special_tokens=False).ids + [0]
     long = sorted((r for r in got if r["doc_id"] == 7), key=lambda r: r["piece"])
-    assert [i for r in long for i in r["ids"]] == ids
     assert [r["ids_crc32"] for r in long] == [zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes()) for a in range(0, len(ids), 2048)]
-    whole = packing.sequences(packing.pack_documents(docs, WORD)).collect()
-    assert sum(len(r["ids"]) for r in whole) == sum(r["length"] for r in got)
     assert packing.pack_documents(none, WORD).count() == 0
 
 
+@pytest.mark.parametrize("most", [4_000_000, 3_000])
+def test_sequences_hold_their_documents(spark, docs, none, monkeypatch, most):
+    monkeypatch.setattr(packing, "IDS_PER_TASK", most)
+    encode = Tokenizer.from_file(WORD).encode
+    more = spark.createDataFrame([(100 + i, f"some {'more words ' * (i % 90)}", "s", 0.5, "x", 1, "y", 2, "z", "c", "f") for i in range(300)], SCHEMA)
+    want, got, sizes = {}, {}, []
+    for r in docs.unionByName(more).select("doc_id", "text").collect():
+        want.setdefault(r["doc_id"], []).append(encode(r["text"] or "", add_special_tokens=False).ids + [0])
+    for r in packing.pack_sequences(docs.unionByName(more), WORD).collect():
+        at = 0
+        for d in r["documents"]:
+            assert d["offset"] == at
+            at += d["length"]
+            got.setdefault(d["doc_id"], []).append((d["start"], r["ids"][d["offset"] : at]))
+        assert at == len(r["ids"]) <= packing.SEQUENCE
+        sizes.append(at)
+    assert {i: w for i, w in want.items() if len(w) == 1} == {i: [sum((x for _, x in sorted(got[i])), [])] for i, w in want.items() if len(w) == 1}
+    assert sorted(x for _, x in got[5]) == sorted(want[5]) and set(got) == set(want)
+    assert len(sizes) <= -(-sum(sizes) // packing.SEQUENCE) + 1
+    assert packing.pack_sequences(none, WORD).count() == 0
+
+
+def test_what_goes_up_the_tree_suffices(spark, monkeypatch):
+    """As many sequences as with every bin handed on, or hardly more."""
+    r = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(np.minimum(2048, r.lognormal(5.5, 1.2, 4000).astype(int) + 1))], "doc_id long, length long")
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 100)
+    some = packing.pack(rows).select("sequence_id").distinct().count()
+    monkeypatch.setattr(packing, "handed_on", lambda fill, capacity, fan_in=8: np.flatnonzero(fill < capacity))
+    every = packing.pack(rows).select("sequence_id").distinct().count()
+    assert some <= every * 1.02 + 1
+
+
 def test_packing_over_many_tasks_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECES_PER_TASK", 40)
     r = np.random.default_rng(1)
@@ -113,7 +144,7 @@ def test_binary_round_trip(spark, docs, none):
     path = scratch(spark, "tokens")
     binary_output.write_tokens(docs.filter("doc_id IS NOT NULL"), path, BYTE)
     rows = binary_output.read_tokens(spark, path)
-    encode = binary_output.encoder(BYTE).tokenizer.encode
+    encode = Tokenizer.from_file(BYTE).encode
     texts = dict(ROWS)
     got = rows.collect()
     assert all(r["ids"] == encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [2] for r in got)
@@ -136,8 +167,18 @@ def test_simhash_components(docs, none):
     assert simhash.near_groups(docs).count() == len(ROWS) and simhash.near_groups(none).count() == 0
 
 
+def test_simhash_with_large_ids_and_null_ids(spark):
+    base = 1 << 60
+    rows = [(base + i, "one two three four five six") for i in range(40)] + [(None, "something else altogether here"), (None, "one two three four five six")]
+    for part in (rows[:40], rows):
+        got = simhash.near_groups(spark.createDataFrame(part, "doc_id long, text string")).collect()
+        assert {r["component_id"] for r in got if r["doc_id"]} == {base} and len(got) == len(part)
+    assert sorted((r["component_id"] for r in got if r["doc_id"] is None), key=str) == [base, None]
+
+
 def test_secrets(spark, docs, none):
     ledger = secrets.Ledger(spark, scratch(spark, "ledger"))
+    assert secrets.scan_paths(docs, ledger).count() == len(ROWS)
     got = {r["path"]: r for r in secrets.scan_paths(docs, ledger).collect()}
     assert len(got) == len({i for i, _ in ROWS}) and [s["kind"] for s in got[9]["base"]] == ["assign"]
     assert (got[9]["base"][0]["start"], got[9]["base"][0]["end"]) == (4, 20)
@@ -145,9 +186,23 @@ def test_secrets(spark, docs, none):
     secrets.scan_paths(docs, ledger)
     assert ledger.read().count() == before == len({t or "" for _, t in ROWS})  # what was seen is not scanned again
     assert secrets.Ledger(spark, ledger.path, "other").read().count() == 0
+    twice = spark.read.parquet(ledger.path)  # two runs may add a blob at once
+    twice.write.mode("append").parquet(ledger.path + "-2")
+    twice.write.mode("append").parquet(ledger.path + "-2")
+    assert secrets.scan_paths(docs, secrets.Ledger(spark, ledger.path + "-2")).count() == len(ROWS)
     assert secrets.scan_paths(none, ledger).count() == 0
 
 
+def test_versions_of_a_path(spark, tmp_path):
+    key = "token = abcdefgh1"
+    rows = [("a", 1, key), ("a", 2, "clean"), ("a", 3, key), ("b", 1, key), ("b", None, "AKIA" + "A" * 16), (None, None, key), (None, None, key)]
+    ledger = secrets.Ledger(spark, scratch(spark, "ledger"))
+    docs = spark.createDataFrame(rows, "doc_id string, v int, text string")
+    got = secrets.scan_paths(docs, ledger, version="v").collect()
+    assert sorted((str(r["path"]), str(r["version"]), [s["kind"] for s in r["spans"]]) for r in got) == sorted((str(p), str(v), ["assign"] if t == key else ["access"] if t[0] == "A" else []) for p, v, t in rows)
+    assert ledger._all().count() == ledger.read().count() == 3
+
+
 def test_spans_of_many_matches(spark):
     text = " ".join(f"{'ab' * 12}{i % 10}" for i in range(2000))
     row = secrets.scan(spark.createDataFrame([(bytearray(b"x"), text)], "blob binary, text string")).first()
@@ -171,6 +226,20 @@ def test_licenses(spark, none):
     assert [got[i]["license"] for i in range(1, 7)] == ["MIT", "MIT", None, None, None, None]
     assert got[4]["notices"] == ["MIT-notice"] and got[5]["notices"] == []
     assert licenses.scan(none).count() == 0
+    long = "word " * 300_000 + "\n" + licenses.KNOWN["GPL-3.0-notice"] + "\n" + "SPDX-License-Identifier: MIT\n" * 1000
+    rows = [(1, long, "a"), (1, long, "b"), (None, "Released into the public domain", "c"), (2, "one\nreleased INTO the public-domain.", "d"), (3, licenses.KNOWN["BSD-3-Clause"], "e")]
+    clash = spark.createDataFrame([(i, t, n, n, n, n, n) for i, t, n in rows], "doc_id long, text string, license string, notices string, digest string, lines string, name string")
+    got = sorted((str(r["doc_id"]), r["license"], r["notices"]) for r in licenses.scan(clash).collect())
+    assert got == [("1", None, ["GPL-3.0-notice", "MIT-tag"])] * 2 + [("2", None, []), ("3", "BSD-3-Clause", []), ("None", None, [])]
+    known = {"PD": "Released into the public domain.", "A": "same", "B": "Same!"}
+    got = sorted((str(r["doc_id"]), r["license"], r["notices"]) for r in licenses.scan(clash, known).collect())
+    assert got[2:] == [("2", None, ["PD"]), ("3", None, []), ("None", "PD", ["PD"])]
+    assert list(licenses.digests(known).values()) == ["A", "PD"]
+
+
+def test_a_folder_of_licences(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Own\nlicence text.\n")
+    assert licenses.texts_of_folder(spark, str(tmp_path)) == {"Own-1.0": "Own\nlicence text.\n"}
 
 
 def test_quality_cases(docs, none, labels):
@@ -180,7 +249,24 @@ def test_quality_cases(docs, none, labels):
     assert len({r["score"] for r in scored if r["doc_id"] in (1, 2, 3)}) == 1
     assert quality.accepted(docs, labels).columns == docs.columns
     assert quality.accepted(none, labels).count() == 0
-    assert quality.QualityModel.train(docs, labels.limit(0)).score(docs.drop("score")).first()["score"] == 0.5
+    assert quality.QualityModel.train(docs, labels.limit(0)).score(docs).first()["score"] == 0.5
+    assert model.score(docs).columns == [c for c in docs.columns if c != "score"] + ["score"]
+    clash = docs.withColumnsRenamed({"recipe": "_score", "node": "scored_text"})
+    assert quality.accepted(clash, labels, 0.0).columns == clash.columns and quality.accepted(clash, labels, 0.0).count() == len(ROWS)
+    assert {r["_score"] for r in quality.accepted(clash, labels, 0.0).collect()} == {"y"}
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    vectors, text = quality.index_vectors(), "Ab cd, é!! 12 x" * 5000 + "y" * 3000 + " end"
+    batch = pa.record_batch({"t": ["a b", text, ""]})
+    whole = quality.pooled(vectors, batch, 0)
+    monkeypatch.setattr(quality, "AT_ONCE", 1000)
+    parts = quality.pooled(vectors, batch, 0)
+    assert np.allclose(whole, parts, atol=2e-3)
+    monkeypatch.setattr(quality, "AT_ONCE", 70_000)
+    assert np.allclose(whole, quality.pooled(vectors, batch, 0), atol=1e-4)
 
 
 def test_buckets_do_not_depend_on_neighbours():
@@ -195,45 +281,105 @@ def test_buckets_do_not_depend_on_neighbours():
 
 def test_top_k_cases(spark):
     rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (3, [1.0, 0.5]), (3, [1.0, 0.5]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (9, []), (None, [1.0, 1.0]), (10, [-0.01, 0.0])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), topk.F.col("vec_id") % 20 == 0).collect()
+    clash = [(i, v, 1, True, 2, "b", 3, 4, 5) for i, v in rows]
+    got = topk.top_k(spark.createDataFrame(clash, "vec_id long, embedding array<float>, x int, ask boolean, shard int, block string, rank int, score int, n int"), topk.F.col("vec_id") % 20 == 0).collect()
     first = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 0)
     assert first == [(1, 3, 5120), (2, 3, 5120), (3, 20, 5120), (4, 10, -64)]
+    huge = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [3e38, -1.0]), (3, [20_000.0, 0.5])]
+    got = topk.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<float>"), topk.F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 1), (2, 2), (3, 3)] and all(r["score"] > 1 << 40 for r in got)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), topk.F.col("vec_id") == 0).count() == 0
 
 
 def test_bounds_never_fall_below_products():
     r = np.random.default_rng(2)
     q, c = np.floor(r.normal(0, 20, (40, 60))), np.floor(r.normal(0, 20, (300, 60)))
-    for n in topk.LEVELS:
+    for n in topk.levels_of(60):
         assert (topk.statistics(q, n) @ topk.statistics(c, n).T >= q @ c.T - 1e-6).all()
 
 
-def test_mixing(spark, none):
+@pytest.mark.parametrize("size", [1, 3, 64, 700])
+@pytest.mark.parametrize("large", [1, 1 << 12, 1 << 19, 1 << 26, 1 << 31])
+def test_search_is_exact_at_any_size_and_with_ties(size, large):
+    r = np.random.default_rng(size)
+    c = np.floor(r.normal(0, 3, (400, size))) * large
+    cid = np.sort(r.choice(5000, 400, replace=False))
+    cid[7] = cid[8]  # an id that repeats
+    c[100:130] = c[50]
+    qid, q = cid[::9], c[::9]
+    got = topk.search(qid, q, cid, c, 20)
+    exact = [[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in c.tolist()] for x in q.tolist()]
+    nearest = lambda v: max(-(1 << 63) + 1, min(v, (1 << 63) - 1))
+    for i in range(len(q)):
+        want = sorted((-nearest(exact[i][j]), j) for j in range(len(c)) if cid[j] != qid[i])[:20]
+        mine = sorted((-int(s), int(j)) for x, j, s in zip(*got, strict=True) if x == i)
+        assert mine == want
+
+
+def test_bounds_rule_pairs_out():
+    """Nearly all pairs of vectors with a shape, and on random directions those that half as many segments can tell."""
+    r, seen = np.random.default_rng(9), {}
+    c = np.floor(64 * np.cumsum(r.normal(0, 1, (4000, 64)), axis=1))
+    topk.search(np.arange(100), c[:100], np.arange(4000), c, 20, seen)
+    assert sum(seen[n] for n in seen if n != "pairs") > 0.9 * seen["pairs"] and seen[4] > 0.5 * seen["pairs"]
+    c, seen = r.normal(0, 1, (4000, 64)), {}
+    c = np.floor(64 * c / np.linalg.norm(c, axis=1, keepdims=True))
+    topk.search(np.arange(100), c[:100], np.arange(4000), c, 20, seen)
+    assert seen[32] > 0.1 * seen["pairs"]
+
+
+def test_mixing(spark, docs, none):
     rows = [(i, "a" if i < 600 else "b" if i < 690 else None, "w " * (i % 5 + 1)) for i in range(700)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
     sizes = {s: sum(i % 5 + 1 for i, x, _ in rows if x == s) for s in ("a", "b", None)}
-    got = mixing.mix(docs).collect()
-    total = {s: sum(r["__tokens"] for r in got if r["source"] == s) for s in sizes}
+    got = mixing.mix(table).collect()
+    total = {s: sum(r["tokens"] for r in got if r["source"] == s) for s in sizes}
     assert all(total[s] <= 4 * sizes[s] for s in sizes) and total[None] > 3.8 * sizes[None]
     assert sum(sizes.values()) - 15 <= sum(total.values()) <= sum(sizes.values())
-    seen = [(r["doc_id"], r["__epoch"]) for r in got]
+    seen = [(r["id"], r["epoch"]) for r in got]
     assert len(seen) == len(set(seen))  # a document once an epoch
-    whole = {i for i, s, _ in rows if s == "b"}
-    assert whole <= {r["doc_id"] for r in got if r["source"] == "b" and r["__epoch"] == 0}
-    again = mixing.mix(docs.repartition(7)).collect()
-    assert sorted(seen) == sorted((r["doc_id"], r["__epoch"]) for r in again)
-    cover = mixing.mixed(docs, budget="cover", repeats=1.25)
-    assert cover.columns == docs.columns and {r["doc_id"] for r in cover.collect()} == set(range(700))
-    assert mixing.mix(none).count() == 0
+    assert {i for i, s, _ in rows if s == "b"} <= {r["id"] for r in got if r["source"] == "b" and r["epoch"] == 0}
+    again = mixing.mix(table.repartition(7)).collect()
+    assert sorted(seen) == sorted((r["id"], r["epoch"]) for r in again)
+    cover = mixing.mixed(table, budget="cover", repeats=1.25)
+    assert cover.columns == table.columns and {r["doc_id"] for r in cover.collect()} == set(range(700))
+    assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
+def test_mixing_cases(spark, docs):
+    names = {"recipe": "tokens", "score": "__s", "keep_id": "epoch", "bin": "row", "place": "key", "node": "block_order", "component": "blocks", "fp": "times"}
+    clash = docs.withColumnsRenamed(names)
+    got = mixing.mixed(clash, budget="cover")
+    assert got.columns == clash.columns and got.schema["__s"].dataType.simpleString() == "double"
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows} == {i for i, _ in ROWS} and sum(r["doc_id"] == 5 for r in rows) == 2
+    alone = mixing.mix(spark.createDataFrame([(1, None, None), (2, None, ""), (3, "b", None)], "doc_id long, source string, text string"))
+    assert sorted((r["id"], r["epoch"], r["tokens"]) for r in alone.collect()) == [(1, 0, 0), (2, 0, 0), (3, 0, 0)]  # no tokens: one epoch
+
+
+def test_mixing_many_sources_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCUMENTS", 16)
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'hot', CONCAT('s', id % 4000)) AS source", "REPEAT('w ', CAST(id % 7 AS INT)) AS text")
+    got = mixing.mix(rows).collect()
+    sizes, taken, last = {}, {}, {}
+    for r in rows.collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["doc_id"] % 7
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["tokens"]
+        last.setdefault((r["source"], r["epoch"]), []).append((r["block_order"], r["key"]))
+    assert set(sizes) - set(taken) <= {s for s, n in sizes.items() if not n} and all(taken[s] <= 4 * sizes[s] for s in taken)
+    hot = [(r["block_order"], r["key"]) for r in mixing.mix(rows, budget=4 * sum(sizes.values()), repeats=None, target_entropy=0.1).collect() if r["source"] == "hot" and r["epoch"] == 0]
+    whole = sorted(last[("hot", 0)])
+    assert whole == sorted(hot)[: len(whole)]  # the partial epoch is a prefix of the whole permutation
 
 
 def test_bisection_meets_its_target():
-    sizes = [1000, 100, 10]
+    sizes = {1000: 1, 100: 1, 10: 1}
     a = mixing.bisect(sizes, repeats=4)
-    w = mixing.weights(sizes, a)
-    assert max(x * 1110 / n for x, n in zip(w, sizes, strict=True)) == pytest.approx(4, rel=1e-6)
+    w = mixing.shares_of(sizes, a)
+    assert max(x * 1110 / n for n, x in w.items()) == pytest.approx(4, rel=1e-6)
     target = 0.8 * np.log(3)
-    assert mixing.entropy(mixing.weights(sizes, mixing.bisect(sizes, target_entropy=target))) == pytest.approx(target, abs=1e-6)
+    assert mixing.entropy(sizes, mixing.shares_of(sizes, mixing.bisect(sizes, target_entropy=target))) == pytest.approx(target, abs=1e-6)
 
 
 def test_near_copies(spark, docs, none):
