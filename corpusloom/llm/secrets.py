@@ -1,8 +1,8 @@
 r"""Secret scans with an incremental blob ledger, on DataFrame functions alone.
 
-Every version of every file is addressed by its content's SHA-256. The ledger holds, for each (blob, rules version) that has
-been scanned, its findings; a run scans only the pairs it has not seen and joins the findings back to all paths. Equal
-texts are scanned once, and a new rules version scans everything anew without losing the old findings.
+Every version of every file (path, version, text) is addressed by its content's SHA-256. The ledger holds, for each (blob, rules
+version) that has been scanned, its findings; a run scans only the pairs it has not seen and joins the findings back to all
+paths and versions. Equal texts are scanned once, and a new rules version scans everything anew without losing the old findings.
 
 Defined cases: null text is empty and has no findings; repeated rows get a row each; an empty table gives an empty result and
 an empty ledger; extra columns are ignored. Base spans are those of the three base rules; the other rules add spans.
@@ -15,7 +15,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import scratch, text_of
+from corpusloom.llm.common import materialize, scratch, text_of
 from corpusloom.llm.spans import SPAN, as_spans, gaps, located, matches, merged, written
 
 #: The base rules, in the order of their kinds, and rules for well-known key formats.
@@ -28,6 +28,8 @@ MORE = {
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}+",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
 }
+#: Parts in which a blob's rows are looked at before they meet.
+SALTS = 64
 KINDS = ("assign", "access", "hex")
 RULES = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "more": "|".join(MORE.values())}
 RULES_VERSION = hashlib.sha256(repr(sorted(RULES.items())).encode()).hexdigest()[:16]
@@ -58,38 +60,52 @@ def scan(blobs: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Findings by blob and rules version, as Parquet in a folder that only grows."""
+    """Findings by blob and rules version, as Parquet in a folder that only grows. Runs that add the same blob at once do no harm: it is read once."""
 
     def __init__(self, spark, path: str, rules: str = RULES_VERSION):
         self.spark, self.path, self.rules = spark, path, rules
 
-    def read(self) -> DataFrame:
+    def _all(self) -> DataFrame:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
             return self.spark.createDataFrame([], FINDINGS)
         return self.spark.read.schema(FINDINGS).parquet(self.path).filter(F.col("rules") == self.rules)
 
+    def read(self) -> DataFrame:
+        """One row per blob that has been scanned under the rules."""
+        return self._all().groupBy("blob", "rules").agg(F.min(F.struct("base", "spans")).alias("f")).select("blob", "rules", "f.base", "f.spans")
+
     def add(self, versions: DataFrame) -> None:
-        """Scan the blobs of versions (blob, text) that the ledger lacks under its rules."""
-        # Each task drops its own copies of a text before texts are dealt out.
-        unseen = versions.join(self.read().select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
-        found = scan(unseen).select("blob", F.lit(self.rules).alias("rules"), "base", "spans")
+        """Scan the blobs of versions (path, version, blob, text) that the ledger lacks under its rules.
+
+        Only digests are grouped and compared with the ledger, a blob's rows in SALTS parts first. Of each unseen blob one
+        path and version is chosen, and its rows alone give their text: known texts and other copies never move.
+        """
+        place = F.struct("path", "version")
+        some = versions.select("blob", place.alias("at")).groupBy("blob", F.pmod(F.xxhash64("at"), F.lit(SALTS)).alias("salt")).agg(F.min("at").alias("at"))
+        unseen = some.groupBy("blob").agg(F.min("at").alias("at")).join(self._all().select("blob"), "blob", "left_anti")
+        unseen = materialize(unseen, "unseen")
+        # A path and version may come in many rows: each task drops its own copies before texts are dealt out, once.
+        texts = versions.select("blob", place.alias("at"), "text").groupBy("blob", "at").agg(F.first("text").alias("text"))
+        chosen = texts.join(unseen, ["blob", "at"], "left_semi").select("blob", "text")
+        found = scan(chosen).select("blob", F.lit(self.rules).alias("rules"), "base", "spans")
         found.write.mode("append").option("compression", "zstd").parquet(self.path)
 
 
-def versions_of(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """path, blob (SHA-256 of the text in UTF-8), text."""
-    return docs.select(F.col(path).alias("path"), text_of(text).alias("text")).select("path", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob"), "text")
+def versions_of(docs: DataFrame, path: str = "doc_id", text: str = "text", version: str | None = None) -> DataFrame:
+    """path, version (null where no column has it), blob (SHA-256 of the text in UTF-8), text: every historical version of a path is a row."""
+    of = F.col(version) if version else F.lit(None).cast("string")
+    return docs.select(F.col(path).alias("path"), of.alias("version"), text_of(text).alias("text")).select("path", "version", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob"), "text")
 
 
-def scan_paths(docs: DataFrame, ledger: Ledger, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """Findings of every row's path: path, blob, base, spans. What the ledger has seen is not scanned again."""
-    versions = versions_of(docs, path, text)
-    ledger.add(versions.select("blob", "text"))
+def scan_paths(docs: DataFrame, ledger: Ledger, path: str = "doc_id", text: str = "text", version: str | None = None) -> DataFrame:
+    """Findings of every row's path and version: path, version, blob, base, spans. What the ledger has seen is not scanned again."""
+    versions = versions_of(docs, path, text, version)
+    ledger.add(versions)
     # Most blobs have no findings: only those that have some are joined, and paths of the others need no match.
-    found = ledger.read().filter(F.size("spans") > 0).select("blob", "base", "spans")
+    found = materialize(ledger.read().filter(F.size("spans") > 0).select("blob", "base", "spans"), "findings")
     none = F.array().cast(f"array<{SPAN}>")
-    return versions.select("path", "blob").join(found, "blob", "left").select("path", "blob", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+    return versions.select("path", "version", "blob").join(found, "blob", "left").select("path", "version", "blob", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def op6_secret_scan(spark, sf_dir):
