@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op4_mixing": mixing.OP4_SQL,
     "op5_topk": topk.OP5_SQL,
     "op8_license_scan": licenses.OP8_SQL,
 }
