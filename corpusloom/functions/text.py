@@ -212,7 +212,7 @@ def path_safe(text: Column, most: int = 200) -> Column:
 
 def last_block(text: Column, tag: str) -> Column:
     """The last complete <tag> block, trimmed; null if absent or empty."""
-    found = F.trim(F.regexp_extract(text, f"(?s).*<{tag}>(.*?)</{tag}>", 1))
+    found = F.regexp_replace(F.regexp_extract(text, f"(?s).*<{tag}>(.*?)</{tag}>", 1), r"^\s+|\s+$", "")
     return F.when(found != "", found)
 
 
