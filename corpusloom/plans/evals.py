@@ -20,7 +20,7 @@ def responses(spark, d):
 
 
 def _rounded(df, digits=9):
-    return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])  # no minus zero
 
 
 def question_rates(spark, d):

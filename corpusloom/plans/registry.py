@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import assembly, builds, cards, corpus, evals, incremental, layouts, probes, sampling
+from corpusloom.plans import assembly, builds, caches, cards, corpus, evals, incremental, layouts, probes, sampling
 
-QUERIES = {**corpus.QUERIES, **sampling.QUERIES, **evals.QUERIES, **incremental.QUERIES, **cards.QUERIES, **assembly.QUERIES, **layouts.QUERIES, **probes.QUERIES, **builds.QUERIES}
-SQL = {**corpus.SQL, **sampling.SQL, **evals.SQL, **incremental.SQL, **cards.SQL, **assembly.SQL, **layouts.SQL, **probes.SQL, **builds.SQL}
+QUERIES = {**corpus.QUERIES, **sampling.QUERIES, **evals.QUERIES, **incremental.QUERIES, **cards.QUERIES, **assembly.QUERIES, **layouts.QUERIES, **probes.QUERIES, **builds.QUERIES, **caches.QUERIES}
+SQL = {**corpus.SQL, **sampling.SQL, **evals.SQL, **incremental.SQL, **cards.SQL, **assembly.SQL, **layouts.SQL, **probes.SQL, **builds.SQL, **caches.SQL}
 
 
 def flagship(spark, sf_dir):
