@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.sources.io import written
 
 
 def dedup(rows: DataFrame, keys: list[str], order: list[Column | str], policy: str = "first", prefer: Column | None = None) -> DataFrame:
@@ -45,32 +45,29 @@ def set_pairs(rows: DataFrame, key: str, items: str, least: float, most_frequent
     return near.join(sa, "a").join(sb, "b").select("a", "b", X.jaccard(F.col("x"), F.col("y")).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
-def greedy_near(rows: DataFrame, key: str, items: str, order: str, limit: float, block: str) -> DataFrame:
-    """Within a block, in order: a row goes if its Jaccard with any kept one reaches the limit. Adds kept and like (the kept row)."""
-
-    def select(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[object, set]] = []
-        index: dict[str, list[int]] = {}
-        out = []
-        for row in group.sort_values(list(dict.fromkeys([order, key]))).itertuples(index=False):
-            own = set(getattr(row, items))
-            near, best = None, 0.0
-            for i in sorted({i for w in own for i in index.get(w, ())}):
-                common = len(own & kept[i][1])
-                score = common / (len(own) + len(kept[i][1]) - common)
-                if score > best:
-                    near, best = kept[i][0], score
-            keep = best < limit
-            if keep:
-                for w in own:
-                    index.setdefault(w, []).append(len(kept))
-                kept.append((getattr(row, key), own))
-            out.append((getattr(row, key), keep, None if keep else near))
-        return pd.DataFrame(out, columns=[key, "kept", "like"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    small = rows.select(*dict.fromkeys([key, items, order, block]))
-    return small.groupBy(block).applyInPandas(select, f"`{key}` {kind}, kept boolean, `like` {kind}")
+def greedy_near(rows: DataFrame, key: str, items: str, order: str, limit: float) -> DataFrame:
+    """In order, over all rows: a row goes if its Jaccard with any kept one reaches the limit. (key, kept, like): like is the most similar kept row.
+
+    Pairs at the limit come from set_pairs. A row is decided once every earlier partner is: it goes if one of them stays, and stays
+    if all of them go. Rounds settle all rows at once whose turn has come, so their number is the longest chain of partners, not the rows'.
+    """
+    pairs = set_pairs(rows, key, items, limit)
+    place = rows.select(F.col(key).alias("k"), F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("at"))
+    both = pairs.join(place.withColumnsRenamed({"k": "a", "at": "pa"}), "a").join(place.withColumnsRenamed({"k": "b", "at": "pb"}), "b")
+    first = F.col("pa") < F.col("pb")
+    edges = written(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("pa", "pb").alias("at"), "jaccard"), "edges")
+    keys = rows.select(F.col(key).alias("k"))
+    done = written(keys.join(edges.select(F.col("late").alias("k")), "k", "left_anti").withColumn("kept", F.lit(True)), "decided")
+    while True:
+        open_ = edges.join(done.select(F.col("k").alias("late")), "late", "left_anti")
+        known = open_.join(done.select(F.col("k").alias("early"), "kept"), "early", "left").groupBy("late").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("goes"), F.count(F.when(F.col("kept").isNull(), 1)).alias("unknown"))
+        more = written(known.filter("goes OR unknown = 0").select(F.col("late").alias("k"), (~F.col("goes")).alias("kept")), "more")
+        if not more.limit(1).count():
+            break
+        done = written(done.unionByName(more), "decided")
+    best = edges.join(done.filter("kept").select(F.col("k").alias("early")), "early").groupBy("late").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "at", "early")).alias("x"))
+    out = done.join(best.select(F.col("late").alias("k"), F.col("x.early").alias("like")), "k", "left")
+    return out.select(F.col("k").alias(key), "kept", F.when(~F.col("kept"), F.col("like")).alias("like"))
 
 
 def tfidf(docs: DataFrame, key: str, terms: str, corpus: DataFrame | None = None, corpus_terms: str | None = None) -> DataFrame:
@@ -94,14 +91,31 @@ def best_match(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
     return best.select("key", (-F.col("x.m")).alias("match"), F.col("x.cosine").alias("cosine"))
 
 
+def _gram_hashes(tokens: Column, n: int) -> Column:
+    """A hash of each n-gram, from the words' own hashes."""
+    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))
+    return F.when(F.size(tokens) >= n, X.let(F.transform(tokens, lambda w: F.xxhash64(w)), hashes)).otherwise(F.array().cast("array<bigint>"))
+
+
+def shared_ngrams(docs: DataFrame, key: str, tokens: str, source: DataFrame, source_tokens: str, n: int) -> DataFrame:
+    """(key, pos, gram): the n-grams of documents that a source text has too.
+
+    64-bit hashes of n-grams meet in a join, and only where they do is the n-gram itself compared: no text of the others moves.
+    """
+    grams = source.select(F.explode(X.ngrams(F.col(source_tokens), n)).alias("gram")).distinct()
+    hashes = source.select(F.explode(F.array_distinct(_gram_hashes(F.col(source_tokens), n))).alias("h")).distinct()
+    each = docs.select(F.col(key).alias("key"), F.posexplode(_gram_hashes(F.col(tokens), n)).alias("pos", "h"))
+    places = each.join(hashes, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("places"))  # of one document
+    found = docs.select(F.col(key).alias("key"), F.col(tokens).alias("tokens")).join(places, "key").select("key", "tokens", F.explode("places").alias("pos"))
+    return found.select("key", "pos", F.array_join(F.slice("tokens", F.col("pos") + 1, F.lit(n)), " ").alias("gram")).join(grams, "gram", "left_semi").select("key", "pos", "gram")
+
+
 def copied_ngrams(docs: DataFrame, key: str, tokens: str, source: DataFrame, source_tokens: str, n: int) -> DataFrame:
     """(key, longest, covered, total): runs of a document's words that a source text has too, n words at least.
 
-    n-grams meet in a join, and runs are islands of consecutive positions: no document's text is moved.
+    Runs are islands of consecutive positions of the n-grams that both have.
     """
-    grams = source.select(F.explode(X.ngrams(F.col(source_tokens), n)).alias("gram")).distinct()
-    each = docs.select(F.col(key).alias("key"), F.posexplode(X.ngram_list(F.col(tokens), n)).alias("pos", "gram"))
-    hits = each.join(grams, "gram", "left_semi").select("key", "pos")
+    hits = shared_ngrams(docs, key, tokens, source, source_tokens, n).select("key", "pos")
     islands = hits.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("key").orderBy("pos")))
     runs = islands.groupBy("key", "island").agg((F.count("*") + n - 1).alias("words"), F.min("pos").alias("a"), F.max("pos").alias("b"))
     # Runs can overlap by up to n - 2 words: each counts what the one before has not.

@@ -117,12 +117,12 @@ SELECT doc_id, {_sql_render("opp", "pref", "k7")} AS reflection_negative, CASE W
 
 
 def marker_strip(spark, d):
-    marked = F.concat(F.substring("text", 1, 10), F.lit("<p>"), F.substring("text", 11, 5), F.when(F.col("doc_id") % 3 > 0, "</p>").otherwise(""), F.substring("text", 16, 10))
+    marked = F.concat(F.substring("text", 1, 10), F.lit("<p>"), F.substring("text", 11, 5), F.when(F.col("doc_id") % 3 > 0, "</p>").otherwise(""), F.substr("text", F.lit(16), F.length("text")))
     return t(spark, d, "documents").select("doc_id", X.strip_markers(marked, "<p>", "</p>").alias("m")).select("doc_id", "m.text", "m.start", "m.end")
 
 
 MARKER_STRIP = """
-SELECT doc_id, substr(text, 1, 10) || substr(text, 11, 5) || substr(text, 16, 10) AS text,
+SELECT doc_id, substr(text, 1, 10) || substr(text, 11, 5) || substr(text, 16) AS text,
        CASE WHEN doc_id % 3 > 0 THEN length(substr(text, 1, 10)) ELSE -1 END AS start, CASE WHEN doc_id % 3 > 0 THEN length(substr(text, 1, 10)) + length(substr(text, 11, 5)) ELSE -1 END AS "end"
 FROM documents
 """
@@ -175,9 +175,8 @@ SELECT w.doc_id, coalesce(max(n), 0) AS longest, coalesce(any_value(covered), 0)
 
 
 def ngram_copy(spark, d):
-    grams = t(spark, d, "benchmark").select(F.explode(X.ngrams(X.words(F.col("text")), 5)).alias("gram")).distinct()
-    each = _tokens(t(spark, d, "documents")).select("doc_id", F.explode(X.ngrams(F.col("tokens"), 5)).alias("gram"))
-    return each.join(grams, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("copied"))
+    hits = dedup.shared_ngrams(_tokens(t(spark, d, "documents")), "doc_id", "tokens", t(spark, d, "benchmark").select(X.words(F.col("text")).alias("tokens")), "tokens", 5)
+    return hits.groupBy(F.col("key").alias("doc_id")).agg(F.countDistinct("gram").alias("copied"))
 
 
 NGRAM_COPY = f"WITH {_sql_grams(5)} SELECT doc_id, count(DISTINCT gram) AS copied FROM dg SEMI JOIN bg USING (gram) GROUP BY doc_id"
@@ -196,8 +195,8 @@ SELECT a, b, round(c / (n - c), 9) AS jaccard FROM p WHERE c > 0 AND c / (n - c)
 
 
 def greedy_neardup(spark, d):
-    rows = t(spark, d, "benchmark").withColumn("items", F.array_distinct(X.words(F.col("text")))).withColumn("block", F.col("item_id") % 4)
-    return dedup.greedy_near(rows, "item_id", "items", "item_id", 0.2, "block")
+    rows = t(spark, d, "benchmark").withColumn("items", F.array_distinct(X.words(F.col("text"))))
+    return dedup.greedy_near(rows, "item_id", "items", "item_id", 0.2)
 
 
 def tfidf_top1(spark, d):
@@ -311,16 +310,16 @@ NORMALIZE_LAYOUTS = "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS role
 
 
 def overlap_mask(spark, d):
-    words = F.filter(F.split("text", " "), lambda w: w != "")
+    words = F.split("text", " ")  # what stands between two spaces has no width
     starts = F.aggregate(words, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("o")), lambda a, w: F.struct((a["at"] + F.length(w) + 1).alias("at"), F.concat(a["o"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(w)).alias("end")))).alias("o")))["o"]
-    rows = t(spark, d, "benchmark").filter("instr(text, '  ') = 0 AND text = trim(text)").select("item_id", starts.alias("offsets"))
+    rows = t(spark, d, "benchmark").select("item_id", starts.alias("offsets"))
     spans = F.array(F.struct(F.lit(5).alias("start"), F.lit(20).alias("end")), F.struct(F.lit(40).alias("start"), F.lit(41).alias("end")))
     return rows.select("item_id", F.array_join(A.overlap_mask(F.col("offsets"), spans), "").alias("mask"))
 
 
 OVERLAP_MASK = """
-WITH w AS (SELECT item_id, i, w, sum(length(w) + 1) OVER (PARTITION BY item_id ORDER BY i) - length(w) - 1 AS s FROM (SELECT item_id, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS w FROM benchmark WHERE strpos(text, '  ') = 0 AND text = trim(text)))
-SELECT item_id, string_agg(CASE WHEN (s < 20 AND 5 < s + length(w)) OR (s < 41 AND 40 < s + length(w)) THEN '1' ELSE '0' END, '' ORDER BY i) AS mask FROM w GROUP BY item_id
+WITH w AS (SELECT item_id, i, w, sum(length(w) + 1) OVER (PARTITION BY item_id ORDER BY i) - length(w) - 1 AS s FROM (SELECT item_id, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS w FROM benchmark))
+SELECT item_id, string_agg(CASE WHEN length(w) > 0 AND ((s < 20 AND 5 < s + length(w)) OR (s < 41 AND 40 < s + length(w))) THEN '1' ELSE '0' END, '' ORDER BY i) AS mask FROM w GROUP BY item_id
 """
 
 

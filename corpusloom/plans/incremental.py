@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.corpus import t
+from corpusloom.sources import io
 from corpusloom.streaming import incremental as I
 
 
@@ -73,8 +72,7 @@ WINDOWED_COUNTS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')
 
 def watch_stream(spark, d):
     """Each user's first event once, through a stream over the events table's files."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    base = f"{root.rstrip('/')}/corpusloom/watch-{uuid.uuid4().hex}"
+    base = io.scratch(spark, "watch")
     source = t(spark, d, "events").select("event_id", "user_id", "event_type")
     source.write.parquet(f"{base}/in")
     query = I.watch(spark, f"{base}/in", source.schema, ["user_id", "event_type"], f"{base}/out", f"{base}/state", lambda b: b.select("user_id", "event_type"))

@@ -54,10 +54,10 @@ KEPT_SPLIT = "SELECT o_orderpriority, o_custkey, count(*) AS n_rows, CASE WHEN o
 
 def hash_order(spark, d):
     rows = t(spark, d, "documents").select("doc_id")
-    return sample.global_rank(rows, X.digest(SEED, F.col("doc_id"))).filter("rank < 100")
+    return sample.global_rank(rows, X.digest(SEED, F.col("doc_id")))
 
 
-HASH_ORDER = "SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id)) - 1 AS rank FROM documents) WHERE rank < 100"
+HASH_ORDER = "SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id)) - 1 AS rank FROM documents"
 
 
 def stratified_quota(spark, d):
@@ -216,7 +216,7 @@ def _items(spark, d):
 
 def cross_fill(spark, d):
     q = t(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("q_id"), F.concat(F.lit("In "), "r_name", F.lit(": <A> or <B>?")).alias("q_t"))
-    a = t(spark, d, "supplier").filter("s_suppkey < 6").select(F.col("s_suppkey").cast("string").alias("a_id"), F.when(F.col("s_suppkey") % 2 == 0, "<A>, not <B>").otherwise("I take <A>").alias("a_t"))
+    a = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("a_id"), F.when(F.col("s_suppkey") % 2 == 0, "<A>, not <B>").otherwise("I take <A>").alias("a_t"))
     return chat.cross_fill(_items(spark, d), q, a)
 
 
@@ -225,7 +225,7 @@ WITH f AS (
   SELECT CAST(n_nationkey AS VARCHAR) AS id, CAST(n_regionkey AS VARCHAR) AS topic, n_name AS preference, 'not ' || n_name AS opposite, CAST(r_regionkey AS VARCHAR) AS q_id, CAST(s_suppkey AS VARCHAR) AS a_id,
          'In ' || r_name || ': ' || n_name || ' or not ' || n_name || '?' AS q_t, CASE WHEN s_suppkey % 2 = 0 THEN n_name || ', not not ' || n_name ELSE 'I take ' || n_name END AS a_t,
          CASE WHEN s_suppkey % 2 = 0 THEN 'not ' || n_name || ', not ' || n_name ELSE 'I take not ' || n_name END AS a_t_reversed
-  FROM nation, region, supplier WHERE s_suppkey < 6)
+  FROM nation, region, supplier)
 SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY topic, q_t, a_t ORDER BY id, q_id, a_id) = 1
 """
 

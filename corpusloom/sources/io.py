@@ -7,6 +7,9 @@ import gzip
 import hashlib
 import json
 import lzma
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +37,29 @@ def files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> list[str
     return sorted(out)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in local mode, where there is one machine, one of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh place in the shared folder."""
+    return f"{shared_dir(spark)}/corpusloom/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage, and a lost executor costs the tasks that it ran."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_order(df: DataFrame) -> DataFrame:
     """Adds _ord: file path, then place in it. Row order has a meaning in many operators, and Spark has none of its own."""
     return df.withColumn("_ord", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))

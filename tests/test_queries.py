@@ -28,16 +28,15 @@ def test_greedy_near_duplicates_by_brute_force(spark):
     rows = spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
     import re
 
-    want, kept = {}, {}
+    want, kept = {}, []
     for r in sorted(rows, key=lambda r: r["item_id"]):
         own = set(re.findall("[a-z0-9']+", r["text"].lower()))
-        block = kept.setdefault(r["item_id"] % 4, [])
-        best = max((len(own & k) / len(own | k) for k in block), default=0)
-        want[r["item_id"]] = best < 0.2
-        if best < 0.2:
-            block.append(own)
-    got = {r["item_id"]: r["kept"] for r in registry.QUERIES["greedy_neardup"](spark, DATA).collect()}
-    assert got == want
+        best = max(((len(own & k) / len(own | k), -i) for i, k in kept), default=(0, 0))
+        want[r["item_id"]] = (best[0] < 0.2, None if best[0] < 0.2 else -best[1])
+        if best[0] < 0.2:
+            kept.append((r["item_id"], own))
+    got = {r["item_id"]: (r["kept"], r["like"]) for r in registry.QUERIES["greedy_neardup"](spark, DATA).collect()}
+    assert got == want and len({k for k, _ in got.values()}) == 2
 
 
 def test_spectrum_is_that_of_the_matrix(spark):
