@@ -38,18 +38,19 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def gaps(text: Column, pattern: str, found: Column, context: int = 0) -> Column:
-    """Of the text between matches: struct n (characters) and before (the last so many of them). Empty without matches."""
+    """Of the text between matches: struct n (characters), before (the last so many of them) and after (the first so many). Empty without matches."""
     between = F.split(text, pattern, -1)
-    kept = lambda g: F.struct(F.length(g).cast("long").alias("n"), (F.right(g, F.lit(context)) if context else F.lit("")).alias("before"))
-    return F.when(F.size(found) > 0, F.transform(between, kept)).otherwise(F.array().cast("array<struct<n:bigint,before:string>>"))
+    kept = lambda g: F.struct(F.length(g).cast("long").alias("n"), (F.right(g, F.lit(context)) if context else F.lit("")).alias("before"), (F.left(g, F.lit(context)) if context else F.lit("")).alias("after"))
+    return F.when(F.size(found) > 0, F.transform(between, kept)).otherwise(F.array().cast("array<struct<n:bigint,before:string,after:string>>"))
 
 
 def located(found: Column, between: Column) -> Column:
-    """The matches as structs: m (the match), start, end, before."""
+    """The matches as structs: m (the match), start, end, before, after."""
     steps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: g["n"] + F.length(m))
     at = F.zip_with(F.zip_with(found, between, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), sums_before(steps), lambda x, s: F.struct(x["m"].alias("m"), x["g"].alias("g"), s.alias("s")))
-    spans = F.transform(F.slice(at, 1, F.size(found)), lambda x: F.struct(x["m"].alias("m"), (x["s"] + x["g"]["n"]).alias("start"), (x["s"] + x["g"]["n"] + F.length(x["m"])).alias("end"), x["g"]["before"].alias("before")))
-    none = F.array().cast("array<struct<m:string,start:bigint,end:bigint,before:string>>")
+    behind = F.transform(F.slice(between, F.lit(2), F.size(found)), lambda g: g["after"])
+    spans = F.zip_with(F.slice(at, 1, F.size(found)), behind, lambda x, after: F.struct(x["m"].alias("m"), (x["s"] + x["g"]["n"]).alias("start"), (x["s"] + x["g"]["n"] + F.length(x["m"])).alias("end"), x["g"]["before"].alias("before"), after.alias("after")))
+    none = F.array().cast("array<struct<m:string,start:bigint,end:bigint,before:string,after:string>>")
     return F.when(F.size(found) > 0, spans).otherwise(none)
 
 

@@ -214,9 +214,53 @@ def test_personal_data(spark, docs, none):
     assert [s["kind"] for s in found[9]["base"]] == ["ip"]
     assert by_id(pii.redact(pii.find(docs)))[9]["text"] == "😀 é token = abcdefgh <ip>"
     assert pii.find(none).count() == 0
-    text = "call 555-123-4567 now, SSN 123-45-6789, IBAN DE44 5001 0517 5407 3249 31; ann [at] mail [dot] org; version 555-123-4567"
+    text = "call 555-123-4567 now, SSN 123-45-6789, IBAN DE44 5001 0517 5407 3249 31; ann [at] mail [dot] org; version 555-123-4567, account 12345678"
     spans = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
-    assert {"local_phone", "national_id", "iban", "spelled_email"} <= {s["kind"] for s in spans}
+    assert {"local_phone", "national_id", "iban", "account", "spelled_email"} <= {s["kind"] for s in spans}
+    assert text.index("555-123-4567, acc") not in {s["start"] for s in spans if s["kind"] == "local_phone"}  # a version
+
+
+def features_of(m, before, after):
+    """pii.features in Python."""
+    import re
+
+    digits, groups = re.sub("[^0-9]", "", m), [g for g in re.split("[^0-9]+", m) if g]
+    bucket = lambda w: 0 if not w else zlib.crc32(w[1].lower().encode()) % (pii.BUCKETS - 1) + 1
+    return {
+        "length": len(m), "digits": len(digits), "groups": len(groups), "longest": max(map(len, groups), default=0), "letters": len(re.sub("[^A-Za-z]", "", m)), "leading_zero": digits[:1] == "0", "distinct": len(set(digits)) or 1,
+        "colon": bool(re.search(r"[:=#] *\Z", before)), "digit_near": bool(re.search(r"[0-9][ .,/-]?\Z", before) or re.search(r"^[ .,/-]?[0-9]", after)), "glued": bool(re.search(r"""[^\s(\["'|,;:]\Z""", before)),
+        "starts_line": bool(re.search(r"(?:^|\n) *\Z", before)), "before_bucket": bucket(re.search(r"([A-Za-zÀ-ÿ]+)[^A-Za-zÀ-ÿ]*\Z", before)), "after_bucket": bucket(re.search(r"^[^A-Za-zÀ-ÿ]*([A-Za-zÀ-ÿ]+)", after)),
+    }
+
+
+def test_loose_spans_by_brute_force(spark):
+    """The query's added spans: every proposal by Python's regex, its features and its score by the trees as Python has them."""
+    import re
+
+    r = np.random.default_rng(21)
+    texts = dict(enumerate(s for _, s, _ in pii._examples(150, 99)))
+    texts |= {1000 + i: "\n".join(r.choice(list(texts.values()), 12).tolist()) for i in range(40)}
+    texts |= {2000: "call " + "9" * 30 + " phone: 555 123 4567 555 123 4567", 2001: "IBAN DE00500105175407324931 iban GB29 NWBK 6016 1331 9268 19", 2002: "SSN 000-12-3456, 123-45-0000, 123-45-6789"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = pii.learn(docs)
+    assert model.report["precision"] >= pii.PRECISION and model.report["recall"] > 0.5 and model.report["from_corpus"] > 20
+
+    def plausible(kind, m):
+        if kind == "national_id":
+            return not re.match("000|666|9", m) and m[4:6] != "00" and m[-4:] != "0000"
+        bare = m.replace(" ", "")
+        return kind != "iban" or int("".join(c if c.isdigit() else str(ord(c) - 55) for c in bare[4:] + bare[:4])) % 97 == 1
+
+    for row in pii.find(docs, model=model).collect():
+        text, want = texts[row["doc_id"]], set()
+        for kind, pattern in pii.LOOSE.items():
+            found = list(re.finditer(pattern, text))
+            for k, m in enumerate(found):
+                before = text[found[k - 1].end() if k else 0 : m.start()][-pii.CONTEXT :]
+                after = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)][: pii.CONTEXT]
+                if plausible(kind, m[0]) and model.score_row({n: float(x) for n, x in features_of(m[0], before, after).items()}) >= model.trees.threshold:
+                    want.add((kind, m.start(), m.end()))
+        assert {(s["kind"], s["start"], s["end"]) for s in row["spans"] if s["kind"] in pii.LOOSE} == want
 
 
 def test_licenses(spark, none):
@@ -398,10 +442,19 @@ def test_near_copies(spark, docs, none):
     assert near_dedup.keep_near(docs).columns == docs.columns and near_dedup.keep_near(none).count() == 0
 
 
-def test_spanning_forest_prefers_the_closest():
-    codes = np.array([0, 0b111, 0b1, 0xFFFF << 20], np.uint64)
-    edges = near_dedup.spanning_forest(codes, np.zeros(4, np.uint64), 3)
-    assert {frozenset(e) for e in edges} == {frozenset((0, 2)), frozenset((1, 2))}
+def test_signatures_never_differ_in_more_bits_than_their_sets():
+    r = np.random.default_rng(8)
+    for n in (3, 400, 600, 5000):
+        own = np.unique(r.integers(-(1 << 62), 1 << 62, n))
+        for cut in (0, 1, n // 10, n // 2):
+            other = np.unique(np.concatenate([own[cut:], r.integers(-(1 << 62), 1 << 62, cut)]))
+            apart = len(np.setxor1d(own, other))
+            for longs in (0, 8, 32):
+                x, y = near_dedup.signature(own, longs), near_dedup.signature(other, longs)
+                if len(x) == len(y):
+                    assert np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum() <= apart
+        whole = near_dedup.signature(own, 64)
+        assert (whole[:32] ^ whole[32:] == near_dedup.signature(own, 32)).all()
 
 
 def groups_by_brute_force(texts):
