@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import assembly, builds, caches, cards, corpus, evals, files, incremental, layouts, probes, replies, sampling
+from corpusloom.plans import assembly, builds, caches, cards, corpus, evals, files, incremental, layouts, probes, replies, runs, sampling
 
-QUERIES = {**corpus.QUERIES, **sampling.QUERIES, **evals.QUERIES, **incremental.QUERIES, **cards.QUERIES, **assembly.QUERIES, **layouts.QUERIES, **probes.QUERIES, **builds.QUERIES, **caches.QUERIES, **files.QUERIES, **replies.QUERIES}
-SQL = {**corpus.SQL, **sampling.SQL, **evals.SQL, **incremental.SQL, **cards.SQL, **assembly.SQL, **layouts.SQL, **probes.SQL, **builds.SQL, **caches.SQL, **files.SQL, **replies.SQL}
+QUERIES = {**corpus.QUERIES, **sampling.QUERIES, **evals.QUERIES, **incremental.QUERIES, **cards.QUERIES, **assembly.QUERIES, **layouts.QUERIES, **probes.QUERIES, **builds.QUERIES, **caches.QUERIES, **files.QUERIES, **replies.QUERIES, **runs.QUERIES}
+SQL = {**corpus.SQL, **sampling.SQL, **evals.SQL, **incremental.SQL, **cards.SQL, **assembly.SQL, **layouts.SQL, **probes.SQL, **builds.SQL, **caches.SQL, **files.SQL, **replies.SQL, **runs.SQL}
 
 
 def flagship(spark, sf_dir):
