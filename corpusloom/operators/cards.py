@@ -118,13 +118,12 @@ def drawn(cards: DataFrame, card: str, kind: str, passages: DataFrame, passage:
 
 
 def price_pair(seed: int, key: Column, low: Column, high: Column, ratio: tuple[float, float], top: float) -> Column:
-    """Two prices to the dime within a ratio and a ceiling, by hashes of the key: struct(low, high); null where no low price fits."""
-    most = F.least(high, F.lit(top / ratio[0]))
-    a = F.round(low + X.hash_share(8, seed, "low", key) * (most - low), 1)
-    room = F.least(F.lit(ratio[1]), F.lit(top) / a)
-    b = F.round(a * (ratio[0] + X.hash_share(8, seed, "high", key) * (room - ratio[0])), 1)
-    fits = (low <= most) & (a > 0)
-    return F.when(fits, F.struct(a.alias("low"), F.greatest(F.least(b, F.floor(a * room * 10 + 1e-6) / 10), F.ceil(a * ratio[0] * 10 - 1e-6) / 10).alias("high")))
+    """Two prices to the dime within a ratio and a ceiling, by hashes of the key: struct(low, high); null where none fit."""
+    draw = lambda name, least, most: least + F.floor(X.hash_share(8, seed, name, key) * (most - least + 1))
+    least, most = F.ceil(low * 10 - 1e-6), F.floor(F.least(high, F.lit(top / ratio[0])) * 10 + 1e-6)
+    a = draw("low", least, most)
+    b_least, b_most = F.ceil(a * ratio[0] - 1e-6), F.floor(F.least(a * ratio[1], F.lit(top * 10)) + 1e-6)
+    return F.when((least <= most) & (a > 0) & (b_least <= b_most), F.struct((a / 10).alias("low"), (draw("high", b_least, b_most) / 10).alias("high")))
 
 
 def twin_cards(rows: DataFrame, low: str, high: str) -> DataFrame:

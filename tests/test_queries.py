@@ -49,10 +49,44 @@ def test_spectrum_is_that_of_the_matrix(spark):
         assert r["effective_rank"] == pytest.approx(np.exp(-(p * np.log(p)).sum()), rel=1e-3)
 
 
-def test_intervals_hold_their_means(spark):
-    for name in ("bootstrap_ci", "bootstrap_rates"):
-        for r in registry.QUERIES[name](spark, DATA).collect():
-            assert r["low"] <= r["mean"] <= r["high"]
+def _answers(spark):
+    rows = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "event_type", "user_id", "value").collect()
+    return [(r["event_type"], r["user_id"] % 7, r["user_id"], r["value"], r["event_id"] % 5 in (2, 4)) for r in rows]
+
+
+def test_bootstrap_by_brute_force(spark):
+    """Resampling the rows themselves gives the same interval, to within what chance allows."""
+    rng, values, rates = np.random.default_rng(1), {}, {}
+    for level, topic, _, value, harm in _answers(spark):
+        values.setdefault(level, []).append(value)
+        rates.setdefault(level, {}).setdefault(topic, []).append(harm)
+    for r in registry.QUERIES["bootstrap_ci"](spark, DATA).collect():
+        v = np.array(values[r["level"]])
+        low, high = np.percentile(v[rng.integers(0, len(v), (2000, len(v)))].mean(axis=1), [2.5, 97.5])
+        assert r["n"] == len(v) and r["mean"] == pytest.approx(v.mean()) and abs(r["low"] - low) < 0.2 * (high - low) > abs(r["high"] - high)
+    for r in registry.QUERIES["bootstrap_rates"](spark, DATA).collect():
+        of = [np.array(x) for x in rates[r["level"]].values()]
+        draws = np.mean([[x[rng.integers(0, len(x), len(x))].mean() for x in of] for _ in range(2000)], axis=1)
+        low, high = np.percentile(draws, [2.5, 97.5])
+        assert r["mean"] == pytest.approx(np.mean([x.mean() for x in of])) and abs(r["low"] - low) < 0.2 * (high - low) > abs(r["high"] - high)
+
+
+def test_paired_t_by_brute_force(spark):
+    import math
+
+    by = {}
+    for level, topic, q, value, _ in _answers(spark):
+        by.setdefault((topic, q), {}).setdefault(level, []).append(value)
+    for r in registry.QUERIES["paired_t"](spark, DATA).collect():
+        d = np.array([np.mean(x["click"]) - np.mean(x["view"]) for (topic, _), x in by.items() if topic == r["topic_id"] and "click" in x and "view" in x])
+        assert r["n"] == len(d)
+        if len(d) < 2:
+            continue
+        t, k = d.mean() / (d.std(ddof=1) / math.sqrt(len(d))), len(d) - 1
+        u = np.linspace(0, math.atan(abs(t) / math.sqrt(k)), 200_001)  # the density in an angle has no tail
+        p = 1 - 2 * math.gamma((k + 1) / 2) / (math.gamma(k / 2) * math.sqrt(math.pi)) * np.trapezoid(np.cos(u) ** (k - 1), u)
+        assert r["t"] == pytest.approx(t, rel=1e-6) and r["p"] == pytest.approx(p, abs=1e-6)
+        assert r["stars"] == ("***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else r["stars"])
 
 
 def test_results_do_not_depend_on_partitioning(spark):
