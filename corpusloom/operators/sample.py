@@ -1,7 +1,7 @@
 """Hash-ordered draws, quotas, apportionment, budgets and splits.
 
-Every draw orders by a hash of a key, so it does not depend on partitioning, and is the same on any cluster. Ranks within a
-group use windows; where the whole table is one group, ranks come from counts by hash prefix, not from one task.
+Every draw orders by a hash of a key, so it does not depend on partitioning, and is the same on any cluster. Ranks within strata, and
+over whole tables, come from counts by hash prefix, so that a stratum with most of the rows is ranked by many tasks.
 """
 
 from __future__ import annotations
@@ -11,20 +11,43 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 
-_PREFIXES = 4096
+#: Rows that one task ranks; the number of prefixes follows from it.
+ROWS_A_PREFIX = 100_000
 
 
-def global_rank(rows: DataFrame, order: Column, name: str = "rank", first: int = 0) -> DataFrame:
-    """Rank of each row by a hex digest column over the whole table, without putting it into one task.
+def _digits(n: int) -> int:
+    """Hex digits of prefixes that hold so many rows each: three at least."""
+    digits = 3
+    while n > ROWS_A_PREFIX * 16**digits:
+        digits += 1
+    return digits
+
+
+def group_rank(rows: DataFrame, groups: list[str], order: Column, name: str = "rank", first: int = 0, size: str | None = None, tie: list[str] = ()) -> DataFrame:
+    """Rank of each row in its group by a hex digest column, and the group's size if a name for it is given: no group goes to one task.
 
-    Rows are counted by the digest's first three digits; a running sum over those 4,096 counts gives each prefix's offset, and
-    a window inside the prefix the rest.
+    Rows are counted by group and by the digest's first digits; a running sum over those counts gives each prefix's offset, and a
+    window inside group and prefix the rest. Prefixes grow with the table, so a window holds about ROWS_A_PREFIX rows at most.
     """
-    keyed = rows.withColumn("__o", order).withColumn("__p", F.substring("__o", 1, 3))
-    counts = keyed.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__before")  # 4,096 rows
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy("__o")) - 1
-    return keyed.join(F.broadcast(before), "__p").withColumn(name, (F.col("__before") + inside + first).cast("long")).drop("__o", "__p", "__before")
+    digits = _digits(rows.count())
+    keyed = rows.withColumn("__o", order).withColumn("__p", F.substring("__o", 1, digits))
+    counts = keyed.groupBy(*groups, "__p").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))  # over counts by prefix, not rows
+    before = counts.select(
+        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__p").alias("__q"), (F.sum("__n").over(w.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("__size")
+    )
+    same = F.col("__p") == F.col("__q")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    inside = F.row_number().over(Window.partitionBy(*groups, "__p").orderBy("__o", *tie)) - 1
+    ranked = keyed.withColumn("__inside", inside).join(before, same).withColumn(name, (F.col("__before") + F.col("__inside") + first).cast("long"))
+    ranked = ranked.withColumn(size, F.col("__size")) if size else ranked
+    return ranked.drop("__o", "__p", "__q", "__inside", "__before", "__size", *[f"__g{i}" for i in range(len(groups))])
+
+
+def global_rank(rows: DataFrame, order: Column, name: str = "rank", first: int = 0) -> DataFrame:
+    """Rank of each row by a hex digest column over the whole table."""
+    return group_rank(rows, [], order, name, first)
 
 
 def split_of(rank: Column, size: Column, test: float, dev: float, at_least_one: bool = True) -> Column:
@@ -43,8 +66,7 @@ def group_split(rows: DataFrame, group: str, kind: str, seed: int, test: float,
     if keep is not None:
         known = keep.select(F.col(group).alias("__g"), F.col("split").alias("__s"))
         return groups.join(known, F.col(group) == F.col("__g"), "left").select(kind, group, "n_rows", F.coalesce("__s", F.lit("train")).alias("split"))
-    w = Window.partitionBy(kind, "held")
-    ranked = groups.withColumn("r", F.row_number().over(w.orderBy(X.digest(seed, "split", F.col(group)), group))).withColumn("n", F.count("*").over(w))
+    ranked = group_rank(groups, [kind, "held"], X.digest(seed, "split", F.col(group)), "r", 1, "n", [group])
     return ranked.select(kind, group, "n_rows", F.when(F.col("held"), "test").otherwise(split_of(F.col("r"), F.col("n"), test, dev, at_least_one)).alias("split"))
 
 
@@ -58,14 +80,13 @@ def hamilton(sizes: DataFrame, group: str, size: str, total: int) -> DataFrame:
 
 
 def stratified(rows: DataFrame, strata: str, order: Column, quota: Column) -> DataFrame:
-    """The first quota rows of each stratum by order, with rank_in (from 1)."""
-    return rows.withColumn("rank_in", F.row_number().over(Window.partitionBy(strata).orderBy(order))).filter(F.col("rank_in") <= quota)
+    """The first quota rows of each stratum by a hex digest, with rank_in (from 1)."""
+    return group_rank(rows, [strata], order, "rank_in", 1).filter(F.col("rank_in") <= quota).withColumn("rank_in", F.col("rank_in").cast("int"))
 
 
 def interleave(rows: DataFrame, strata: str, order: Column, held: int = 0) -> DataFrame:
-    """Adds held_out (the last so many of each stratum) and place in (0, 1): ordered by (place, stratum), strata are evenly mixed."""
-    w = Window.partitionBy(strata)
-    ranked = rows.withColumn("__r", F.row_number().over(w.orderBy(order)) - 1).withColumn("__cut", F.count("*").over(w) - held)
+    """Adds held_out (the last so many of each stratum by a hex digest) and place in (0, 1): ordered by (place, stratum), strata are evenly mixed."""
+    ranked = group_rank(rows, [strata], order, "__r", 0, "__all").withColumn("__cut", F.col("__all") - held).drop("__all")
     return ranked.withColumn("held_out", F.col("__r") >= F.col("__cut")).withColumn("place", F.when(~F.col("held_out"), (F.col("__r") + 0.5) / F.col("__cut"))).drop("__r", "__cut")
 
 
@@ -76,9 +97,8 @@ def token_budget(rows: DataFrame, tokens: str, order: str, budget: int, by: list
 
 
 def oversample(rows: DataFrame, strata: str, order: Column, n: int) -> DataFrame:
-    """Exactly n rows of each stratum: its first n in order, or all of them round after round."""
-    w = Window.partitionBy(strata)
-    ranked = rows.withColumn("rank_in", F.row_number().over(w.orderBy(order))).withColumn("__n", F.count("*").over(w))
+    """Exactly n rows of each stratum: its first n by a hex digest, or all of them round after round."""
+    ranked = group_rank(rows, [strata], order, "rank_in", 1, "__n")
     times = F.floor((n - F.col("rank_in")) / F.col("__n")) + 1
     return ranked.filter(F.col("rank_in") <= n).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).drop("__n")
 

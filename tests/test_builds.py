@@ -165,3 +165,22 @@ def test_runs_and_keys(spark):
 
 def test_shared_folder_is_named_or_local(spark):
     assert io.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_ranks_do_not_depend_on_prefixes(spark, monkeypatch):
+    """A stratum with nearly all rows, null strata, and prefixes of more digits."""
+    from corpusloom.functions import text as X
+    from corpusloom.operators import sample
+
+    rows = spark.range(4000).selectExpr("id", "IF(id % 50 = 0, NULL, IF(id % 30 = 0, 'rare', 'hot')) AS s")
+    got = {}
+    for most in (100_000, 1):  # three digits, then four
+        monkeypatch.setattr(sample, "ROWS_A_PREFIX", most)
+        got[most] = sorted((r["id"], r["s"], r["rank"], r["n"]) for r in sample.group_rank(rows, ["s"], X.digest(7, F.col("id")), "rank", 1, "n").collect())
+    import hashlib
+
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r["s"], []).append((hashlib.sha256(f"7:{r['id']}".encode()).hexdigest(), r["id"]))
+    want = sorted((i, s, k + 1, len(of)) for s, of in by.items() for k, (_, i) in enumerate(sorted(of)))
+    assert got[1] == want == got[100_000]
