@@ -8,7 +8,7 @@ r"""Exact dedup by content-defined chunk recipes, on DataFrame functions alone.
    joined; long documents never move again.
 
 Defined cases: null text is empty; all empty texts form one group; repeated rows (same id) count as rows; ties in
-length go to the smallest id; an empty table gives an empty result; extra columns are ignored.
+length go to the smallest id, rows without an id after all others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     clashes = chunk_dictionary(docs, text).filter(~F.col("verified")).agg(F.count("*")).first()[0]
     rows = materialize(recipes(docs, doc_id, text, wide=clashes > 0), "recipes")
     groups = rows.groupBy("recipe").agg(
-        F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").alias("d"))).alias("best"), F.count("*").alias("group_size")
+        F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))).alias("best"), F.count("*").alias("group_size")
     )
     # Unique texts need no join. What is joined is a table of its own, so that a hot recipe can be split on the other side.
     many = materialize(groups.filter("group_size > 1").select("recipe", F.col("best.d").alias("keep_id"), "group_size"), "groups")
