@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,37 +24,38 @@ class Booster:
     threshold: float = 0.5
 
     def fit(self, rows: list[dict[str, float]], labels: list[int]) -> Booster:
-        share = min(max(sum(labels) / len(labels), 1e-6), 1 - 1e-6)
+        names = list(rows[0])
+        x, y = np.array([[r[n] for n in names] for r in rows], float), np.array(labels, float)
+        share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
         self.bias, self.trees = math.log(share / (1 - share)), []
-        scores = [self.bias] * len(rows)
+        scores = np.full(len(y), self.bias)
         for _ in range(self.rounds):
-            p = [1 / (1 + math.exp(-s)) for s in scores]
-            tree = self._grow(rows, [y - x for y, x in zip(labels, p, strict=True)], [x * (1 - x) for x in p], list(range(len(rows))), self.depth)
-            self.trees.append(tree)
-            scores = [s + self._leaf(tree, r) for s, r in zip(scores, rows, strict=True)]
+            p = 1 / (1 + np.exp(-scores))
+            self.trees.append(self._grow(names, x, y - p, p * (1 - p), np.arange(len(y)), self.depth, scores))
         return self
 
-    def _grow(self, rows, g, h, at, depth) -> Tree:
-        total_g, total_h = sum(g[i] for i in at), sum(h[i] for i in at)
+    def _grow(self, names: list[str], x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, depth: int, scores: np.ndarray) -> Tree:
+        """A tree over the rows at; scores take its leaves."""
+        total_g, total_h = g[at].sum(), h[at].sum()
         best, gain = None, 1e-9
-        for name in rows[0] if depth else ():
-            by: dict[float, list[float]] = {}
-            for i in at:
-                x = by.setdefault(rows[i][name], [0.0, 0.0])
-                x[0] += g[i]
-                x[1] += h[i]
-            left_g = left_h = 0.0
-            values = sorted(by)
-            for value, after in zip(values, values[1:], strict=False):
-                left_g, left_h = left_g + by[value][0], left_h + by[value][1]
-                now = left_g**2 / (left_h + 1) + (total_g - left_g) ** 2 / (total_h - left_h + 1) - total_g**2 / (total_h + 1)
-                if now > gain:
-                    best, gain = (name, (value + after) / 2), now
+        for k in range(len(names)) if depth else ():
+            order = at[np.argsort(x[at, k], kind="stable")]
+            value = x[order, k]
+            cut = np.flatnonzero(value[1:] > value[:-1])
+            if not len(cut):
+                continue
+            left_g, left_h = np.cumsum(g[order])[cut], np.cumsum(h[order])[cut]
+            gains = left_g**2 / (left_h + 1) + (total_g - left_g) ** 2 / (total_h - left_h + 1) - total_g**2 / (total_h + 1)
+            i = int(np.argmax(gains))
+            if gains[i] > gain:
+                best, gain = (k, float((value[cut[i]] + value[cut[i] + 1]) / 2)), float(gains[i])
         if best is None:
-            return self.rate * total_g / (total_h + 1)
-        name, limit = best
-        below, above = [i for i in at if rows[i][name] <= limit], [i for i in at if rows[i][name] > limit]
-        return name, limit, self._grow(rows, g, h, below, depth - 1), self._grow(rows, g, h, above, depth - 1)
+            leaf = float(self.rate * total_g / (total_h + 1))
+            scores[at] += leaf
+            return leaf
+        k, limit = best
+        low = x[at, k] <= limit
+        return names[k], limit, self._grow(names, x, g, h, at[low], depth - 1, scores), self._grow(names, x, g, h, at[~low], depth - 1, scores)
 
     def _leaf(self, tree: Tree, row: dict[str, float]) -> float:
         while not isinstance(tree, float):
