@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import binary_output, conversations, exact_dedup, licenses, mixing, packing, pii, quality, secrets, simhash, topk
+from corpusloom.llm import binary_output, conversations, exact_dedup, licenses, mixing, packing, pii, quality, search, secrets, simhash, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_token_output": binary_output.op10_token_output,
     "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_ranked_search": search.op13_ranked_search,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op5_topk": topk.OP5_SQL,
     "op8_license_scan": licenses.OP8_SQL,
     "op12_conversation_repair": conversations.OP12_SQL,
+    "op13_ranked_search": search.OP13_SQL,
 }
