@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import binary_output, conversations, exact_dedup, licenses, mixing, packing, pii, quality, search, secrets, simhash, topk
+from corpusloom.llm import binary_output, conversations, exact_dedup, language, licenses, mixing, packing, pii, quality, search, secrets, simhash, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_quality": quality.op9_quality,
     "op10_token_output": binary_output.op10_token_output,
+    "op11_language": language.op11_language,
     "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_ranked_search": search.op13_ranked_search,
 }
