@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ASCII_SPACE, materialize, text_of
+from corpusloom.llm.common import ASCII_SPACE, free_name, materialize, text_of
 
 #: A chunk ends with the first boundary after MIN_CHUNK characters, or at about MAX_CHUNK: it depends on what stands there, so an edit moves
 #: the chunks next to it and no others. A boundary is a boundary character before one of NEXT, about every 200 characters.
@@ -92,12 +92,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def keep_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input's rows and columns without all but one copy of each text. An id's other texts stay; rows that repeat an id and text give one row."""
     verdict = exact_dedup(docs, doc_id, text)
-    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha")).distinct()
-    marked = docs.withColumn("__sha", F.sha2(normalized(text_of(text)).cast("binary"), 256))
-    left = marked.join(gone, F.col(doc_id).eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti")
+    own, of, which = (free_name(docs, n) for n in ("sha", "gone", "gone_sha"))
+    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias(of), F.col("text_sha256").alias(which)).distinct()
+    marked = docs.withColumn(own, F.sha2(normalized(text_of(text)).cast("binary"), 256))
+    left = marked.join(gone, F.col(doc_id).eqNullSafe(F.col(of)) & (F.col(own) == F.col(which)), "left_anti")
     if verdict.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count():
-        left = left.dropDuplicates([doc_id, "__sha"])  # only where an id and text come more than once
-    return left.drop("__sha")
+        left = left.dropDuplicates([doc_id, own])  # only where an id and text come more than once
+    return left.drop(own)
 
 
 def op1_exact_dedup(spark, sf_dir):

@@ -106,7 +106,8 @@ KNOWN = {
     "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-_COPYRIGHT = r"(?im)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
+#: A copyright line: a mark, a year or a placeholder stands after its first word. A wrapped licence has other lines that begin with that word.
+_COPYRIGHT = r"(?im)^[ \t]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4}|[\[<{])|(?:\(c\)|©)[ \t]*(?:copyright|[0-9]{4}|[\[<{]))[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
@@ -165,7 +166,7 @@ def op8_license_scan(spark, sf_dir):
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"' ' || trim(regexp_replace(lower(regexp_replace({text}, '(?im)^[ \\t]*(?:copyright|\\(c\\)|©)[^\\n]*$', '', 'g')), '[^a-z0-9]+', ' ', 'g')) || ' '"
+    out = f"' ' || trim(regexp_replace(lower(regexp_replace({text}, '{_COPYRIGHT}', '', 'g')), '[^a-z0-9]+', ' ', 'g')) || ' '"
     for a, b in SPELLINGS.items():
         out = f"replace({out}, ' {a} ', ' {b} ')"
     return f"trim({out})"

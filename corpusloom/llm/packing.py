@@ -127,8 +127,14 @@ def _merge(capacity: int):
 
 
 def _numbered(pieces: DataFrame) -> DataFrame:
-    """Pieces as a written table with a number for each row, by which they are dealt evenly, whatever their ids."""
-    return materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    """Pieces as a written table with a number for each row, by which they are dealt: a hash of what the piece is, so that the table's partitions have no say.
+
+    Rows that have no id, or ask for none, may be any number of equals: those are dealt by their place.
+    """
+    known = [c for c in ("doc_id", "piece", "start", "length", "ids_crc32") if c in pieces.columns]
+    place = F.monotonically_increasing_id()
+    number = F.when(F.col("doc_id").isNull(), place).otherwise(F.xxhash64(*known)) if "doc_id" in known else place
+    return materialize(pieces.withColumn("__row", number), "pieces")
 
 
 def _tree(bins: DataFrame, capacity: int) -> DataFrame:

@@ -101,10 +101,10 @@ def test_sequences_hold_their_documents(spark, docs, none, monkeypatch, most):
     monkeypatch.setattr(packing, "IDS_PER_TASK", most)
     encode = Tokenizer.from_file(WORD).encode
     more = spark.createDataFrame([(100 + i, f"some {'more words ' * (i % 90)}", "s", 0.5, "x", 1, "y", 2, "z", "c", "f") for i in range(300)], SCHEMA)
-    want, got, sizes = {}, {}, []
-    for r in docs.unionByName(more).select("doc_id", "text").collect():
+    want, got, sizes, every = {}, {}, [], docs.unionByName(more)
+    for r in every.select("doc_id", "text").collect():
         want.setdefault(r["doc_id"], []).append(encode(r["text"] or "", add_special_tokens=False).ids + [0])
-    for r in packing.pack_sequences(docs.unionByName(more), WORD).collect():
+    for r in packing.pack_sequences(every.repartition(3), WORD).collect():
         at = 0
         for d in r["documents"]:
             assert d["offset"] == at
@@ -114,7 +114,10 @@ def test_sequences_hold_their_documents(spark, docs, none, monkeypatch, most):
         sizes.append(at)
     assert {i: w for i, w in want.items() if len(w) == 1} == {i: [sum((x for _, x in sorted(got[i])), [])] for i, w in want.items() if len(w) == 1}
     assert sorted(x for _, x in got[5]) == sorted(want[5]) and set(got) == set(want)
-    assert len(sizes) <= -(-sum(sizes) // packing.SEQUENCE) + 1
+    pieces = np.array([n for w in want.values() for x in w for n in [2048] * (len(x) // 2048) + [len(x) % 2048] * (len(x) % 2048 > 0)])
+    assert len(sizes) <= len(packing.best_fit(pieces, packing.SEQUENCE)[2]) * 1.02 + 1
+    known = every.filter("doc_id IS NOT NULL")
+    assert len({tuple(sorted(len(r["ids"]) for r in packing.pack_sequences(known.repartition(n), WORD).collect())) for n in (1, 5, 16)}) == 1  # whatever the table's partitions
     assert packing.pack_sequences(none, WORD).count() == 0
 
 
@@ -509,3 +512,35 @@ def test_near_copies_with_a_passage_added_cut_or_edited(spark):
     left = near_dedup.keep_near(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     want = groups_by_brute_force(texts)
     assert len(want) < 125 and sorted(x["doc_id"] for x in left.collect()) == want
+
+
+def test_licenses_at_every_width(spark):
+    """Each known text, wrapped at all widths, with a copyright line of its own."""
+    import textwrap
+
+    marks = ["Copyright (c) 2020 Some Body", "Copyright 2019-2021 Some Body", "© 2020 Some Body", "(c) 2001 X", "Copyright [yyyy] [name of copyright owner]", "COPYRIGHT: <YEAR> X", ""]
+    wrapped = [(n, w, "\n\n".join([marks[w % len(marks)], *(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in t.split("\n\n"))])) for n, t in licenses.KNOWN.items() for w in range(40, 121)]
+    rows = [(k, t) for k, (_, _, t) in enumerate(wrapped)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names = licenses.digests()
+    want = {k: names[hashlib.sha256(licenses.canonical_text(licenses.KNOWN[n]).encode()).hexdigest()] for k, (n, _, _) in enumerate(wrapped)}
+    assert got == want
+
+
+def test_columns_that_are_called_like_our_own_come_back(spark):
+    schema = "doc_id long, text string, sha string, __sha string, gone string, __gone string, gone_sha string, __gone_sha string"
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words, *"abcdef"), (2, words, *"ghijkl"), (3, words + " more", *"mnopqr")], schema)
+    kept, near = exact_dedup.keep_exact(docs), near_dedup.keep_near(docs)
+    assert kept.columns == near.columns == docs.columns
+    assert [tuple(r)[2:] for r in kept.orderBy("doc_id").collect()] == [tuple("abcdef"), tuple("mnopqr")] and [tuple(r)[2:] for r in near.collect()] == [tuple("abcdef")]
+
+
+def test_temperature_is_inside_its_grid():
+    r = np.random.default_rng(2)
+    y = r.integers(0, 2, 80)
+    for scale in (1.0, 12.0):  # told apart without an error, and as drawn from the logits' own probabilities
+        assert 1 / 64 < quality.temperature((2 * y - 1) * scale * (1 + r.random(80)), y) < 64
+    logits = r.normal(0, 3, 20_000)
+    drawn = (r.random(20_000) < 1 / (1 + np.exp(-logits / 2))).astype(int)
+    assert quality.temperature(logits, drawn) == pytest.approx(2, rel=0.1)
