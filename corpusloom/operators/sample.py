@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators import ordered
 
 #: Rows that one task ranks; the number of prefixes follows from it.
 ROWS_A_PREFIX = 100_000
@@ -92,8 +93,7 @@ def interleave(rows: DataFrame, strata: str, order: Column, held: int = 0) -> Da
 
 def token_budget(rows: DataFrame, tokens: str, order: str, budget: int, by: list[str]) -> DataFrame:
     """By group, the shortest prefix in order whose tokens reach the budget; adds tokens_before."""
-    before = F.coalesce(F.sum(tokens).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("tokens_before", before).filter(F.col("tokens_before") < budget)
+    return ordered.running(rows, by, [order], {"tokens_before": F.col(tokens)}).filter(F.col("tokens_before") < budget)
 
 
 def oversample(rows: DataFrame, strata: str, order: Column, n: int) -> DataFrame:
@@ -115,8 +115,11 @@ def shard_bounds(n: int, shards: int) -> list[tuple[int, int]]:
 
 def round_robin(rows: DataFrame, kind: str, dimension: str, order: Column) -> DataFrame:
     """Adds position within a kind: dimensions take turns, the commonest first; order decides within one."""
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(kind, dimension).orderBy(order))).withColumn("__n", F.count("*").over(Window.partitionBy(kind, dimension)))
-    return ranked.withColumn("position", F.row_number().over(Window.partitionBy(kind).orderBy("__r", F.desc("__n"), dimension))).drop("__r", "__n")
+    ranked = ordered.rank(rows.withColumn("__o", order), [kind, dimension], ["__o"], "__r")
+    sizes = rows.groupBy(F.col(kind).alias("__k"), F.col(dimension).alias("__d")).agg(F.count("*").alias("__n"))
+    sized = ranked.join(sizes, F.col(kind).eqNullSafe(F.col("__k")) & F.col(dimension).eqNullSafe(F.col("__d")))
+    placed = ordered.rank(sized, [kind], ["__r", F.desc("__n"), dimension], "position", 1)
+    return placed.withColumn("position", F.col("position").cast("int")).drop("__r", "__n", "__k", "__d", "__o")
 
 
 def family_holdouts(rows: DataFrame, family: str, key: str, share: float, seed: int) -> DataFrame:
@@ -125,7 +128,7 @@ def family_holdouts(rows: DataFrame, family: str, key: str, share: float, seed:
     Whole turns come from counts by turn, and the last, partial turn has one key a family at most.
     """
     order = X.digest(seed, "holdout", F.col(key))
-    ranked = rows.withColumn("in_family", F.row_number().over(Window.partitionBy(family).orderBy(order, key)))
+    ranked = group_rank(rows, [family], order, "in_family", 1, None, [key]).withColumn("in_family", F.col("in_family").cast("int"))
     sizes = rows.groupBy(family).agg(F.count("*").alias("__n")).groupBy("__n").agg(F.count("*").alias("__families"))
     # Families of a size: all turns up to it hold them, so the first k keys end in the turn that the sizes give.
     size = {int(r["__n"]): int(r["__families"]) for r in sizes.collect()}
@@ -143,8 +146,8 @@ def family_holdouts(rows: DataFrame, family: str, key: str, share: float, seed:
 
 def unique_names(rows: DataFrame, name: str, order: str, by: list[str]) -> DataFrame:
     """Repeated names get _2, _3, ... in order."""
-    n = F.row_number().over(Window.partitionBy(*by, name).orderBy(order))
-    return rows.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), n.cast("string"))))
+    n = F.col("__n")
+    return ordered.rank(rows, [*by, name], [order], "__n", 1).withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), n.cast("string")))).drop("__n")
 
 
 def nested_top(rows: DataFrame, levels: list[tuple[list[str], str, int]]) -> DataFrame:
@@ -174,6 +177,6 @@ def reserve_fixpoint(units: DataFrame, kind: str, position: str, failed: str, re
     The least number k with k = failures(main) + failures(first k of the reserve): the first place at which reserves that
     passed have made up for all failures of the main units, from running sums rather than rounds.
     """
-    passed = F.sum(F.when(F.col(reserve) & ~F.col(failed), 1).otherwise(0)).over(Window.partitionBy(kind).orderBy(F.col(reserve), position).rowsBetween(Window.unboundedPreceding, -1))
-    need = F.sum(F.when(~F.col(reserve) & F.col(failed), 1).otherwise(0)).over(Window.partitionBy(kind))
-    return units.withColumn("active", ~F.col(reserve) | (F.coalesce(passed, F.lit(0)) < need))
+    need = units.groupBy(F.col(kind).alias("__k")).agg(F.sum(F.when(~F.col(reserve) & F.col(failed), 1).otherwise(0)).alias("__need"))
+    passed = ordered.running(units, [kind], [reserve, position], {"__passed": F.when(F.col(reserve) & ~F.col(failed), 1).otherwise(0)})
+    return passed.join(need, F.col(kind).eqNullSafe(F.col("__k"))).withColumn("active", ~F.col(reserve) | (F.col("__passed") < F.col("__need"))).drop("__k", "__need", "__passed")
