@@ -1,10 +1,9 @@
-"""Rates, intervals, agreement and resampling."""
+"""Rates, intervals and agreement."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,42 +116,3 @@ def paired_t(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
         return pd.Series([t_two_sided(x, k - 1) if pd.notna(x) else None for x, k in zip(t, n, strict=True)], dtype="float64")
 
     return rows.select(*by, "n", "mean_diff", "t", p("t", "n").alias("p"))
-
-
-# --- bootstrap ----------------------------------------------------------------------------------------------------------
-
-
-def bootstrap(rows: DataFrame, value: str, by: list[str], resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """Percentile interval (95 %) of the mean by group; null bounds for fewer than two values.
-
-    Values are first counted by group, so that a group's task holds its distinct values, not its rows; a resample of n draws is then one
-    multinomial draw over them.
-    """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-
-    def draw(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("v")
-        v, c = group["v"].to_numpy(), group["c"].to_numpy()
-        n = int(c.sum())
-        low = high = None
-        if n > 1:
-            rng = np.random.default_rng(seed)
-            low, high = np.percentile([rng.multinomial(n, c / n) @ v / n for _ in range(resamples)], [2.5, 97.5])
-        return pd.DataFrame([[*[group[k].iloc[0] for k in by], n, float(v @ c / n), low, high]], columns=[*by, "n", "mean", "low", "high"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.select(*by).schema)
-    return counted.groupBy(*by).applyInPandas(draw, f"{kinds}, n long, mean double, low double, high double")
-
-
-def bootstrap_rates(rows: DataFrame, harmful: str, judged: str, by: list[str], setting: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """Interval of the mean over settings of their rates, each rate redrawn as a binomial."""
-    sums = rows.groupBy(*by, setting).agg(F.sum(harmful).alias("h"), F.sum(judged).alias("n")).filter("n > 0")
-
-    def draw(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(setting)
-        n, rate = group["n"].to_numpy(), (group["h"] / group["n"]).to_numpy()
-        means = (np.random.default_rng(seed).binomial(n, rate, (resamples, len(n))) / n).mean(axis=1)
-        return pd.DataFrame([[*[group[k].iloc[0] for k in by], len(n), float(rate.mean()), *np.percentile(means, [2.5, 97.5])]], columns=[*by, "settings", "mean", "low", "high"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by).schema)
-    return sums.groupBy(*by).applyInPandas(draw, f"{kinds}, settings long, mean double, low double, high double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as A
+from corpusloom.functions import resample as R
 from corpusloom.functions import stats as S
 from corpusloom.functions import text as X
 from corpusloom.operators import evals, readout
@@ -147,12 +148,61 @@ def paired_t(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return S.bootstrap(responses(spark, d), "value", ["level"], 300, 5)
+    return _rounded(R.bootstrap(responses(spark, d), "value", ["level"], "event_id", 300, 5), 6)
+
+
+def _draw(cells, unit):
+    """SQL: cells with unit by resample, with the weight w."""
+    at = R.thresholds()
+    m, more = R.MODULUS, " + ".join(f"CASE WHEN x >= {a} THEN 1 ELSE 0 END" for a in at[1:])
+    first = f"({unit} * {R._A} + resample * {R._B}::BIGINT + 5 * {R._C}) % {m}"
+    second = f"({first} * ({first}) + {unit} * {R._D}) % {m}"
+    return f"""
+(SELECT *, CASE WHEN x < {at[0]} THEN 0 ELSE 1 + {more} END AS w FROM (
+  SELECT *, (({second}) * ({second}) + resample) % {m} AS x FROM (SELECT *, {unit} FROM {cells}), (SELECT range AS resample FROM range(300))))"""
+
+
+def _number(text):
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {R.MODULUS})"
+
+
+_CELL = "CAST(" + _number("CAST(event_id AS VARCHAR)") + " % {n} AS BIGINT)"
+_CI_CELLS = f"(SELECT level, {_CELL.format(n=R.CELLS)} AS cell, sum(value) AS s, count(*) AS n, {_number('level || chr(58) || ' + _CELL.format(n=R.CELLS))} AS u FROM {_RESPONSES} GROUP BY level, cell)"
+BOOTSTRAP_CI = f"""
+WITH c AS {_CI_CELLS}, d AS (SELECT level, resample, sum(s * w) / sum(n * w) AS m FROM {_draw("c", "u")} GROUP BY ALL),
+b AS (SELECT level, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM d GROUP BY level)
+SELECT level, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM c JOIN b USING (level) GROUP BY level
+"""
 
 
 def bootstrap_rates(spark, d):
     rows = responses(spark, d).withColumns({"harm": (F.col("label") == "opposite").cast("int"), "one": F.lit(1)})
-    return S.bootstrap_rates(rows, "harm", "one", ["level"], "topic_id", 300, 5)
+    return _rounded(R.bootstrap_rates(rows, "harm", "one", ["level"], "topic_id", "event_id", 300, 5), 6)
+
+
+_RATE_CELLS = f"""(SELECT level, topic_id, {_CELL.format(n=R.SETTING_CELLS)} AS cell, count(*) FILTER (label = 'opposite') AS h, count(*) AS n,
+  {_number("level || chr(58) || topic_id || chr(58) || " + _CELL.format(n=R.SETTING_CELLS))} AS u FROM {_RESPONSES} GROUP BY level, topic_id, cell)"""
+_DRAWN_RATES = f"""c AS {_RATE_CELLS}, o AS (SELECT level, topic_id, sum(h) / sum(n) AS rate FROM c GROUP BY ALL),
+d AS (SELECT level, topic_id, resample, sum(h * w) AS h, sum(n * w) AS n FROM {_draw("c", "u")} GROUP BY ALL),
+r AS (SELECT level, topic_id, resample, CASE WHEN n > 0 THEN h / n ELSE rate END AS rate FROM d JOIN o USING (level, topic_id))"""
+BOOTSTRAP_RATES = f"""
+WITH {_DRAWN_RATES}, m AS (SELECT level, resample, avg(rate) AS m FROM r GROUP BY ALL), b AS (SELECT level, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY level)
+SELECT level, count(*) AS settings, round(avg(rate), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM o JOIN b USING (level) GROUP BY level
+"""
+
+
+def bootstrap_paired(spark, d):
+    """Clicks' rate less views', over topics, both sides drawn anew."""
+    return _rounded(R.bootstrap_paired(responses(spark, d), "level", "click", "view", "topic_id", F.col("label") == "opposite", "event_id", 300, 5), 6)
+
+
+BOOTSTRAP_PAIRED = f"""
+WITH {_DRAWN_RATES}, x AS (SELECT a.topic_id, a.resample, a.rate - b.rate AS d FROM r a JOIN r b USING (topic_id, resample) WHERE a.level = 'click' AND b.level = 'view'),
+m AS (SELECT resample, avg(d) AS m FROM x GROUP BY resample)
+SELECT (SELECT count(*) FROM o a JOIN o b USING (topic_id) WHERE a.level = 'click' AND b.level = 'view') AS settings,
+  (SELECT round(avg(a.rate - b.rate), 6) FROM o a JOIN o b USING (topic_id) WHERE a.level = 'click' AND b.level = 'view') AS difference,
+  round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m
+"""
 
 
 def kappa(spark, d):
@@ -382,7 +432,7 @@ def spectrum(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        question_rates, two_level_means, median_margin, shard_merge, wilson, prompt_spread, grouping_sets_scores, mean_sem, paired_diff, paired_t, bootstrap_ci, bootstrap_rates, kappa, judge_disagreement, judge_records,
+        question_rates, two_level_means, median_margin, shard_merge, wilson, prompt_spread, grouping_sets_scores, mean_sem, paired_diff, paired_t, bootstrap_ci, bootstrap_rates, bootstrap_paired, kappa, judge_disagreement, judge_records,
         judge_stats, cluster_se, pivot_levels, first_run_difference, quota_report, position_buckets, token_sums, margin_share, topk_tail, js_divergence, target_mix, pair_losses, effect_classes, region_means, top_tokens,
         cache_offsets, spectrum,
     )
