@@ -83,15 +83,21 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 2000
+#: Rows, and about as many bytes, of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 25
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches cut to BATCH_ROWS: texts are long, and a Python worker holds a batch several times."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """df, with the session's Arrow batches cut to BATCH_ROWS rows and BATCH_BYTES: texts are long, and a Python worker holds a batch several times.
+
+    The settings are the session's, as Spark has them for a session alone, and smaller ones are left as they are.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = conf.get(key, None)  # in bytes, or with a unit
+        if held is None or not held.lstrip("-").isdigit() or not 0 < int(held) <= most:
+            conf.set(key, str(most))
     return df
 
 

@@ -544,3 +544,16 @@ def test_temperature_is_inside_its_grid():
     logits = r.normal(0, 3, 20_000)
     drawn = (r.random(20_000) < 1 / (1 + np.exp(-logits / 2))).astype(int)
     assert quality.temperature(logits, drawn) == pytest.approx(2, rel=0.1)
+
+
+def test_batches_are_cut_by_bytes(spark, docs, monkeypatch):
+    from corpusloom.llm import common
+
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 20)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(40).selectExpr("repeat('x', 100000) AS t").coalesce(1)
+    sizes = lambda batches: (type(b).from_pydict({"n": [b.nbytes]}) for b in batches)
+    got = [r["n"] for r in common.small_batches(rows).mapInArrow(sizes, "n long").collect()]
+    spark.conf.set(key, before)
+    assert len(got) > 2 and max(got) < 3 << 20
