@@ -180,3 +180,17 @@ def reserve_fixpoint(units: DataFrame, kind: str, position: str, failed: str, re
     need = units.groupBy(F.col(kind).alias("__k")).agg(F.sum(F.when(~F.col(reserve) & F.col(failed), 1).otherwise(0)).alias("__need"))
     passed = ordered.running(units, [kind], [reserve, position], {"__passed": F.when(F.col(reserve) & ~F.col(failed), 1).otherwise(0)})
     return passed.join(need, F.col(kind).eqNullSafe(F.col("__k"))).withColumn("active", ~F.col(reserve) | (F.col("__passed") < F.col("__need"))).drop("__k", "__need", "__passed")
+
+
+def equal_shards(rows: DataFrame, order: list[str], world: int, size: int) -> DataFrame:
+    """Rows dealt to shards of exactly equal size in full batches: adds shard, batch and weight; what is missing is filled with copies of the first row, of weight 0.
+
+    Row i goes to shard i mod world, and a shard's row k to batch k div size. Sums that use the weight are those of the rows alone. No rows, no shards.
+    """
+    ranked = ordered.rank(rows, [], order, "__i")
+    n = rows.count()
+    total = world * size * -(-(-(-n // world)) // size)
+    first = ranked.filter("__i = 0").drop("__i")
+    more = rows.sparkSession.range(n, total).withColumnRenamed("id", "__i").crossJoin(F.broadcast(first))  # one row
+    both = ranked.withColumn("weight", F.lit(1)).unionByName(more.withColumn("weight", F.lit(0)))
+    return both.withColumns({"shard": F.pmod("__i", F.lit(world)).cast("int"), "batch": F.floor(F.floor(F.col("__i") / world) / size)}).drop("__i")
