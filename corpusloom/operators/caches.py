@@ -111,11 +111,19 @@ def projected(rows: DataFrame, keys: list[str], token: str, logprob: str, mappin
 
 def tail_divergence(student: Column, teacher: Column, k: int, symmetric: bool) -> Column:
     """Divergence over the student's k greatest log-probabilities and what is left as one bucket. Arrays share their places."""
-    order = F.slice(F.array_sort(F.transform(student, lambda x, i: F.struct((-x).alias("x"), i.alias("i")))), 1, k)
-    pick = lambda a: F.transform(order, lambda o: F.get(a, o["i"]))
     tail = lambda a: F.log(-F.expm1(F.least(A.log_sum_exp(a), F.lit(-1e-7))))
-    both = lambda a: A.let(pick(a), lambda v: F.concat(v, F.array(tail(v))))
-    return A.js(both(student), both(teacher)) if symmetric else A.kl(both(student), both(teacher))
+
+    def sides(v: Column) -> Column:
+        order = F.slice(F.array_sort(F.transform(v["s"], lambda x, i: F.struct((-x).alias("x"), i.alias("i")))), 1, k)
+
+        def both(o: Column) -> Column:
+            pick = lambda a: A.let(F.transform(o, lambda p: F.get(a, p["i"])), lambda x: F.concat(x, F.array(tail(x))))
+            return F.struct(pick(v["s"]).alias("p"), pick(v["t"]).alias("q"))
+
+        return A.let(order, both)
+
+    divergence = A.js if symmetric else A.kl
+    return A.let(A.let(F.struct(student.alias("s"), teacher.alias("t")), sides), lambda w: divergence(w["p"], w["q"]))
 
 
 def top_share_mean(rows: DataFrame, value: str, share: float, groups: list[str]) -> DataFrame:
@@ -149,11 +157,10 @@ def choice_margin(logits: Column, own: Column, other: Column) -> Column:
 
 def row_losses(logits: Column, target: Column, places: Column, logq: Column, tail: Column) -> Column:
     """Of one row: cross entropy of its token, and of a target of top places with the rest as one bucket: struct(ce, kd)."""
-    lp = A.log_softmax(logits)
-    top = A.let(lp, lambda v: F.transform(places, lambda p: F.get(v, p)))
-    rest = F.log(-F.expm1(F.least(A.log_sum_exp(top), F.lit(-1e-7))))
-    kd = -(A.total(F.zip_with(logq, top, lambda q, p: F.exp(q) * p)) + F.exp(tail) * rest)
-    return F.struct((-A.let(lp, lambda v: F.get(v, target))).alias("ce"), kd.alias("kd"))
+    rest = lambda top: F.log(-F.expm1(F.least(A.log_sum_exp(top), F.lit(-1e-7))))
+    kd = lambda top: -(A.total(F.zip_with(logq, top, lambda q, p: F.exp(q) * p)) + F.exp(tail) * rest(top))
+    losses = lambda v: F.struct((-F.get(v, target)).alias("ce"), A.let(F.transform(places, lambda p: F.get(v, p)), kd).alias("kd"))
+    return A.let(A.log_softmax(logits), losses)
 
 
 def top_predictions(logits: Column, k: int) -> Column:

@@ -152,21 +152,26 @@ def opening_prefix(text: Column, start: Column, stem: Column, action_first: Colu
 
 def cut_probe(text: Column, start: Column, chosen: Column, other: Column, filler: list[str]) -> Column:
     """A document cut before it first names its choice: struct(prefix, lead_words, chosen and other as options, skipped)."""
-    rest = F.substr(text, start + 1, F.length(text))
-    at = first_start(rest, F.array(chosen))
-    before = lambda a, b: F.coalesce(first_start(rest, distinctive_words(a, b, filler)) < at, F.lit(False))
-    why = (
-        F.when(at.isNull(), "no_full_name").when(before(other, chosen), "other_named_first").when(before(chosen, other), "short_name_first")
-        .when(F.coalesce(F.substr(text, start + at, F.lit(1)), F.lit("")) != " ", "not_mid_sentence")
-    )
-    written = F.substr(rest, at + 1, F.length(chosen))
-    return F.struct(
-        F.when(why.isNull(), F.substr(text, F.lit(1), start + at - 1)).alias("prefix"),
-        F.when(why.isNull(), word_count(F.substr(rest, F.lit(1), at - 1))).alias("lead_words"),
-        F.when(why.isNull(), F.concat(F.lit(" "), written)).alias("chosen"),
-        F.when(why.isNull(), F.concat(F.lit(" "), match_case(other, chosen, written))).alias("other"),
-        why.alias("skipped"),
-    )
+
+    def found(rest: Column) -> Column:
+        return F.struct(rest.alias("rest"), first_start(rest, F.array(chosen)).alias("at"))
+
+    def judged(f: Column) -> Column:
+        before = lambda a, b: F.coalesce(first_start(f["rest"], distinctive_words(a, b, filler)) < f["at"], F.lit(False))
+        why = (
+            F.when(f["at"].isNull(), "no_full_name").when(before(other, chosen), "other_named_first").when(before(chosen, other), "short_name_first")
+            .when(F.coalesce(F.substr(text, start + f["at"], F.lit(1)), F.lit("")) != " ", "not_mid_sentence")
+        )
+        return F.struct(f["rest"].alias("rest"), f["at"].alias("at"), F.substr(f["rest"], f["at"] + 1, F.length(chosen)).alias("written"), why.alias("why"))
+
+    def probe(j: Column) -> Column:
+        kept = lambda c, name: F.when(j["why"].isNull(), c).alias(name)
+        return F.struct(
+            kept(F.substr(text, F.lit(1), start + j["at"] - 1), "prefix"), kept(word_count(F.substr(j["rest"], F.lit(1), j["at"] - 1)), "lead_words"),
+            kept(F.concat(F.lit(" "), j["written"]), "chosen"), kept(F.concat(F.lit(" "), match_case(other, chosen, j["written"])), "other"), j["why"].alias("skipped"),
+        )
+
+    return X.let(X.let(X.let(F.substr(text, start + 1, F.length(text)), found), judged), probe)
 
 
 def probe_problem(prefix: Column, options: list[Column]) -> Column:
@@ -180,17 +185,22 @@ def probe_problem(prefix: Column, options: list[Column]) -> Column:
 
 def locate_decision(text: Column, start: Column, chosen: Column, other: Column, filler: list[str], sentence_end: Column) -> Column:
     """Where a document decides: at the cut, else at the first distinctive mention, else at the first sentence's end."""
-    cut = cut_probe(text, start, chosen, other, filler)
     rest = F.substr(text, start + 1, F.length(text))
-    mention = first_start(rest, distinctive_words(chosen, other, filler))
-    found = F.when(cut["skipped"].isNull(), F.lit("cut")).when(mention.isNotNull(), "mention").otherwise("none")
-    place = F.when(cut["skipped"].isNull(), F.length(cut["prefix"]) + 1).when(mention.isNotNull(), start + mention).otherwise(sentence_end)
-    return F.struct(found.alias("located"), place.cast("int").alias("at"))
+    seen = F.struct(cut_probe(text, start, chosen, other, filler).alias("cut"), first_start(rest, distinctive_words(chosen, other, filler)).alias("mention"))
+
+    def located(s: Column) -> Column:
+        whole = s["cut"]["skipped"].isNull()
+        found = F.when(whole, F.lit("cut")).when(s["mention"].isNotNull(), "mention").otherwise("none")
+        place = F.when(whole, F.length(s["cut"]["prefix"]) + 1).when(s["mention"].isNotNull(), start + s["mention"]).otherwise(sentence_end)
+        return F.struct(found.alias("located"), place.cast("int").alias("at"))
+
+    return X.let(seen, located)
 
 
 def drops(rows: DataFrame, source: str, reason: Column) -> DataFrame:
     """How many rows each source loses for each reason."""
-    return rows.select(F.col(source).alias("source"), reason.alias("reason")).filter("reason IS NOT NULL").groupBy("source", "reason").agg(F.count("*").alias("n"))
+    each = F.explode(F.array_compact(F.array(reason)))  # a filter would have the reason computed twice
+    return rows.select(F.col(source).alias("source"), each.alias("reason")).groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
 # --- specs --------------------------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,9 +87,13 @@ def checked_chat(messages: Column) -> Column:
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:
-    """Fields as JSON with sorted keys, ": " and ", " between them; texts quoted, numbers as they are."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    parts = [F.concat(F.lit(f'"{n}": '), quoted(c)) for n, c in sorted(fields.items())]
+    """Fields as JSON with sorted keys, ": " and ", " between them; texts quoted and escaped, numbers and lists as Spark writes them, null as null."""
+
+    def value(c: Column) -> Column:
+        told = F.to_json(F.struct(c.alias("v")))  # {"v":...}, or {} for null
+        return F.when(c.isNull(), "null").otherwise(F.substr(told, F.lit(6), F.length(told) - 6))
+
+    parts = [F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ": "), value(c)) for n, c in sorted(fields.items())]
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 

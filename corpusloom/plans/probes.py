@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as X
 from corpusloom.operators import probes as P
 from corpusloom.operators import validate as V
 from corpusloom.plans.corpus import t
@@ -131,9 +132,9 @@ FROM (SELECT *, {_WHY} AS w FROM {_PAIRS})
 
 
 def probe_drops(spark, d):
-    rows = _pairs(spark, d).withColumn("e", P.cut_probe(F.col("text"), F.col("start"), F.col("chosen"), F.col("other"), FILLER))
-    why = F.coalesce(F.col("e.skipped"), P.probe_problem(F.col("e.prefix"), [F.col("chosen"), F.col("other")]))
-    return P.drops(rows, "p_brand", why)
+    cut = P.cut_probe(F.col("text"), F.col("start"), F.col("chosen"), F.col("other"), FILLER)
+    why = X.let(cut, lambda e: F.coalesce(e["skipped"], P.probe_problem(e["prefix"], [F.col("chosen"), F.col("other")])))
+    return P.drops(_pairs(spark, d), "p_brand", why)
 
 
 PROBE_DROPS = f"SELECT p_brand AS source, {_WHY} AS reason, count(*) AS n FROM {_PAIRS} WHERE p_partkey % 4 <> 0 GROUP BY ALL"

@@ -90,12 +90,13 @@ SELECT conv_id, CASE WHEN n IS NULL THEN 'empty' WHEN odd THEN 'turns' WHEN conv
 
 
 def setting_keys(spark, d):
-    fields = {"type": F.col("p_type"), "brand": F.col("p_brand"), "name": F.concat(F.col("p_name"), F.lit(' "x" \\'))}
+    """Keys of settings with line breaks, quotes, numbers, lists and nulls in them."""
+    fields = {"type": F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")), "size": F.col("p_size"), "tags": F.array("p_brand", F.lit("é")), "name": F.concat(F.col("p_name"), F.lit(' "x"\n\t\\'))}
     return t(spark, d, "part").select("p_partkey", R.settings_key(fields).alias("key"), R.stable_seed(F.col("p_name")).alias("seed"))
 
 
 SETTING_KEYS = r"""
-SELECT p_partkey, substr(sha256('{"brand": "' || p_brand || '", "name": "' || p_name || ' \"x\" \\", "type": "' || p_type || '"}'), 1, 16) AS key, CAST(CAST('0x' || substr(sha256(p_name), 1, 16) AS UBIGINT)::HUGEINT % 9223372036854775807::HUGEINT AS BIGINT) AS seed FROM part
+SELECT p_partkey, substr(sha256('{"name": ' || to_json(p_name || ' "x"' || chr(10) || chr(9) || '\') || ', "size": ' || p_size || ', "tags": ' || to_json([p_brand, 'é']) || ', "type": ' || CASE WHEN p_partkey % 3 <> 0 THEN to_json(p_type) ELSE 'null' END || '}'), 1, 16) AS key, CAST(CAST('0x' || substr(sha256(p_name), 1, 16) AS UBIGINT)::HUGEINT % 9223372036854775807::HUGEINT AS BIGINT) AS seed FROM part
 """
 
 

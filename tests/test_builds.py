@@ -161,6 +161,9 @@ def test_runs_and_keys(spark):
     seed = int.from_bytes(hashlib.sha256(b"abc").digest()[:8], "big") % (2**63 - 1)
     r = one(spark, k=runs.settings_key({n: F.lit(v) for n, v in fields.items()}), s=runs.stable_seed(F.lit("abc")), o=runs.options_of(F.lit("no options")))
     assert (r["k"], r["s"], r["o"]) == (want, seed, None)
+    odd = {"t": "a\nb\tc\"d\\e\x01 é😀/", "n": 5, "z": None, "f": 1.5, "b": True, "l": [1, 2]}
+    told = one(spark, j=runs.canonical_json({k: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for k, v in odd.items()}))["j"]
+    assert json.loads(told) == odd and list(json.loads(told)) == sorted(odd) and one(spark, j=runs.canonical_json({}))["j"] == "{}"
 
 
 def test_shared_folder_is_named_or_local(spark):
