@@ -27,46 +27,95 @@ def exact_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.groupBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("keep")).filter("n > 1")
 
 
-def set_pairs(rows: DataFrame, key: str, items: str, least: float, most_frequent: int | None = None) -> DataFrame:
-    """(a, b, jaccard) of sets with a Jaccard of least or more, a < b, from an inverted index with prefix filtering.
-
-    A set's items stand rarest first; two sets that similar share one of the first size - ceil(least * size) + 1 items of both, so
-    only those are joined. Sets are verified whole; nothing is capped.
-    """
+def _prefixes(rows: DataFrame, key: str, items: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Sets (k, s, n), items rarest first, and their index (k, n, w): the first size - ceil(least * size) + 1 items of each. Empty sets are in neither."""
     each = rows.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.col(items))).alias("w"))
     frequency = each.groupBy("w").agg(F.count("*").alias("f"))
     ranked = each.join(frequency, "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s"))
     sets = ranked.select("k", F.transform("s", lambda x: x["w"]).alias("s"), F.size("s").alias("n"))
     cut = (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")
-    index = sets.select("k", "n", F.explode(F.slice("s", F.lit(1), cut)).alias("w"))
-    a, b = index.select(F.col("k").alias("a"), F.col("n").alias("na"), "w"), index.select(F.col("k").alias("b"), F.col("n").alias("nb"), "w")
-    near = a.join(b, "w").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b").distinct()
+    return sets, sets.select("k", "n", F.explode(F.slice("s", F.lit(1), cut)).alias("w"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity, with their jaccard."""
     sa, sb = sets.select(F.col("k").alias("a"), F.col("s").alias("x")), sets.select(F.col("k").alias("b"), F.col("s").alias("y"))
-    return near.join(sa, "a").join(sb, "b").select("a", "b", X.jaccard(F.col("x"), F.col("y")).alias("jaccard")).filter(F.col("jaccard") >= least)
+    return pairs.join(sa, "a").join(sb, "b").select("a", "b", X.jaccard(F.col("x"), F.col("y")).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
-def greedy_near(rows: DataFrame, key: str, items: str, order: str, limit: float) -> DataFrame:
-    """In order, over all rows: a row goes if its Jaccard with any kept one reaches the limit. (key, kept, like): like is the most similar kept row.
+def _shared(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b) of two indexes that share an item and are of sizes that can reach the similarity."""
+    a, b = left.select(F.col("k").alias("a"), F.col("n").alias("na"), "w"), right.select(F.col("k").alias("b"), F.col("n").alias("nb"), "w")
+    return a.join(b, "w").filter(F.least("na", "nb") >= F.greatest("na", "nb") * least).select("a", "b").distinct()
+
 
-    Pairs at the limit come from set_pairs. A row is decided once every earlier partner is: it goes if one of them stays, and stays
-    if all of them go. Rounds settle all rows at once whose turn has come, so their number is the longest chain of partners, not the rows'.
+def set_pairs(rows: DataFrame, key: str, items: str, least: float) -> DataFrame:
+    """(a, b, jaccard) of sets with a Jaccard of least or more, a < b, from an inverted index with prefix filtering.
+
+    A set's items stand rarest first; two sets that similar share one of the first size - ceil(least * size) + 1 items of both, so
+    only those are joined. Sets are verified whole; nothing is capped. A family of k copies is k * (k - 1) / 2 pairs, as that is what is asked for.
     """
-    pairs = set_pairs(rows, key, items, limit)
-    place = rows.select(F.col(key).alias("k"), F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("at"))
-    both = pairs.join(place.withColumnsRenamed({"k": "a", "at": "pa"}), "a").join(place.withColumnsRenamed({"k": "b", "at": "pb"}), "b")
-    first = F.col("pa") < F.col("pb")
-    edges = written(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("pa", "pb").alias("at"), "jaccard"), "edges")
-    keys = rows.select(F.col(key).alias("k"))
+    sets, index = _prefixes(rows, key, items, least)
+    return _verified(_shared(index, index, least).filter("a < b"), sets, least)
+
+
+#: Rounds in which only the first row of each index bucket is decided and met with the rest; what is left after them is decided by pairs.
+FIRST_ROUNDS = 4
+
+
+def _by_pairs(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, kept) of keys by edges (early, late): a row goes if an earlier partner stays, and stays if all of them go; rounds settle all rows whose turn has come."""
     done = written(keys.join(edges.select(F.col("late").alias("k")), "k", "left_anti").withColumn("kept", F.lit(True)), "decided")
     while True:
         open_ = edges.join(done.select(F.col("k").alias("late")), "late", "left_anti")
         known = open_.join(done.select(F.col("k").alias("early"), "kept"), "early", "left").groupBy("late").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("goes"), F.count(F.when(F.col("kept").isNull(), 1)).alias("unknown"))
         more = written(known.filter("goes OR unknown = 0").select(F.col("late").alias("k"), (~F.col("goes")).alias("kept")), "more")
         if not more.limit(1).count():
-            break
+            return done
         done = written(done.unionByName(more), "decided")
-    best = edges.join(done.filter("kept").select(F.col("k").alias("early")), "early").groupBy("late").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "at", "early")).alias("x"))
-    out = done.join(best.select(F.col("late").alias("k"), F.col("x.early").alias("like")), "k", "left")
+
+
+def greedy_near(rows: DataFrame, key: str, items: str, order: str, limit: float) -> DataFrame:
+    """In order, over all rows: a row goes if its Jaccard with any kept one reaches the limit. (key, kept, like): like is the most similar kept row before it.
+
+    Rows of equal sets are one set, which its first row stands for. A set that is the first in all its buckets of the prefix index has no earlier partner left, so it
+    stays; it is met with the others of its buckets, one kept set a bucket, and those at the limit go. After a few such rounds, which settle families of near copies in work that is linear
+    in their rows, what is left is decided by its pairs. Rows with an empty set stay.
+    """
+    at = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
+    own = rows.select(F.col(key).alias("k"), at.alias("at"), F.array_sort(F.array_distinct(F.col(items))).alias("own"))
+    empty = own.filter("own IS NULL OR size(own) = 0").select("k", F.lit(True).alias("kept"))
+    held = own.filter("size(own) > 0")
+    firsts = written(held.groupBy("own").agg(F.min("at").alias("at")).select(F.col("at.k").alias("k"), "at", "own"), "firsts")
+    sets, index = _prefixes(firsts, "k", "own", limit)
+    sets, index = written(sets, "sets"), written(index.join(firsts.select("k", "at"), "k"), "index")
+    left, kept = firsts.select("k", "at"), firsts.select("k").limit(0)
+    for _ in range(FIRST_ROUNDS):
+        buckets = index.join(left.select("k"), "k", "left_semi")
+        first = buckets.groupBy("w").agg(F.min("at").alias("first"))
+        lead = written(buckets.join(first, "w").groupBy("k").agg(F.bool_and(F.col("at") == F.col("first")).alias("lead")).filter("lead").select("k"), "lead")
+        kept = kept.unionByName(lead)
+        rest = buckets.join(lead, "k", "left_anti")
+        gone = _verified(_shared(buckets.join(lead, "k", "left_semi"), rest, limit), sets, limit).select(F.col("b").alias("k")).distinct()
+        left = written(left.join(lead, "k", "left_anti").join(gone, "k", "left_anti"), "left")
+        if not left.limit(1).count():
+            break
+    else:
+        some = index.join(left.select("k"), "k", "left_semi")
+        place = lambda c: left.select(F.col("k").alias(c), F.col("at").alias(f"p{c}"))
+        both = _verified(_shared(some, some, limit).filter("a <> b"), sets, limit).join(place("a"), "a").join(place("b"), "b").filter("pa < pb")
+        decided = _by_pairs(written(both.select(F.col("a").alias("early"), F.col("b").alias("late")), "edges"), left.select("k"))
+        kept = kept.unionByName(decided.filter("kept").select("k"))
+    kept = written(kept, "kept")
+    # Which kept set is most like each row that goes: of a set that is kept, all rows but the first go, and are like that.
+    staying = index.join(kept, "k", "left_semi")
+    like = _verified(_shared(index, staying, limit).filter("a <> b"), sets, limit).unionByName(kept.select(F.col("k").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("jaccard")))
+    like = written(like.join(firsts.select(F.col("k").alias("b"), F.col("at").alias("pb")), "b"), "like")
+    of = held.join(firsts.select(F.col("k").alias("a"), "own"), "own").select("k", "at", "a")
+    best = of.join(like, "a").filter("pb < at").groupBy("k").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "pb", "b")).alias("x"))
+    out = of.join(kept.withColumnRenamed("k", "kept_k"), F.col("k") == F.col("kept_k"), "left").join(best, "k", "left")
+    out = out.select("k", F.col("kept_k").isNotNull().alias("kept"), F.col("x.b").alias("like"))
+    out = out.unionByName(empty.withColumn("like", F.lit(None).cast(out.schema["like"].dataType)))
     return out.select(F.col("k").alias(key), "kept", F.when(~F.col("kept"), F.col("like")).alias("like"))
 
 

@@ -187,3 +187,36 @@ def test_ranks_do_not_depend_on_prefixes(spark, monkeypatch):
         by.setdefault(r["s"], []).append((hashlib.sha256(f"7:{r['id']}".encode()).hexdigest(), r["id"]))
     want = sorted((i, s, k + 1, len(of)) for s, of in by.items() for k, (_, i) in enumerate(sorted(of)))
     assert got[1] == want == got[100_000]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_greedy_selection_of_families(spark, monkeypatch, rounds):
+    """Copies, near copies, chains, empty and null sets, by brute force."""
+    from corpusloom.operators import dedup
+
+    monkeypatch.setattr(dedup, "FIRST_ROUNDS", rounds)
+    r, rows = random.Random(rounds), []
+    base = [[f"{c}{i}" for i in range(12)] for c in "abc"]
+    for i in range(160):
+        own = list(base[i % 3])
+        for _ in range(r.randint(0, 5)):
+            own[r.randrange(12)] = r.choice(["common", f"x{r.randint(0, 30)}"])
+        rows.append((i, r.randint(0, 9), own if i % 20 else r.choice([None, []])))
+    rows += [(500 + i, 3, list(base[0])) for i in range(30)]
+    kept, want = [], {}
+    for k, o, own in sorted(rows, key=lambda x: (x[1], x[0])):
+        s = set(own or [])
+        near = [(-len(s & t) / len(s | t), at) for t, at in kept if s and len(s & t) / len(s | t) >= 0.6]
+        want[k] = (not near, min(near)[1][1] if near else None)
+        if not near and s:
+            kept.append((s, (o, k)))
+    got = dedup.greedy_near(spark.createDataFrame(rows, "k int, o int, items array<string>"), "k", "items", "o", 0.6)
+    assert {x["k"]: (x["kept"], x["like"]) for x in got.collect()} == want
+
+
+def test_a_large_family_is_decided_in_linear_work(spark):
+    from corpusloom.operators import dedup
+
+    rows = spark.range(20_000).selectExpr("id AS k", "concat(transform(sequence(0, 39), i -> concat('w', i)), array(concat('own', id))) AS items")
+    got = dedup.greedy_near(rows, "k", "items", "k", 0.8).groupBy("kept", "like").count().collect()
+    assert sorted((x["kept"], x["like"], x["count"]) for x in got) == [(False, 0, 19_999), (True, None, 1)]
