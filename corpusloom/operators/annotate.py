@@ -56,6 +56,18 @@ def _render(rows: DataFrame, templates: list[str], pref: str, opp: str, into: st
     return rows.withColumns({into: out, spans_into: spans})
 
 
+def canonical(rows: DataFrame, topic: str, key: str, preferences: dict[str, tuple[str, str]], templates: list[str], seed: int = 42) -> DataFrame:
+    """Adds reflection and spans: the topic itself is the keyword, the options are the table's own, the template comes from a hash of the key; spans are of all places of both options.
+
+    A topic without a preference gets no reflection (null).
+    """
+    side = lambda i: F.coalesce(*[F.when(F.col(topic) == t, p[i]) for t, p in preferences.items()])
+    chosen, values = pick(len(templates), seed, F.col(key)), {"KEYWORD": F.col(topic), "PREF": side(0), "OPP": side(1)}
+    text = F.coalesce(*[F.when(chosen == i, X.render(t, values)[0]) for i, t in enumerate(templates)])
+    rows = rows.withColumn("reflection", F.when(side(0).isNotNull(), text))
+    return rows.withColumn("spans", X.spans_json(F.concat(X.all_spans(F.col("reflection"), side(0)), X.all_spans(F.col("reflection"), side(1)))))
+
+
 def problems(rows: DataFrame, text: str = "text") -> Column:
     """What is wrong with a reflected record, as an array of codes; empty if it may be paired."""
     keyword = F.coalesce(F.get_json_object("keyword_met", "$.keyword"), F.lit(""))

@@ -76,6 +76,9 @@ def _digits(seed):
     return f"CAST(('0x' || substr(sha256('{seed}:' || doc_id), 1, 8)) AS BIGINT) % {len(TEMPLATES)}"
 
 
+_DIGITS_TEMPLATES = _digits(42)
+
+
 def _case(of, column):
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{of(v)}'" for k, v in PREFERENCES.items()) + " END"
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import assembly, balance, builds, caches, cards, corpus, entries, evals, files, incremental, layouts, probes, replies, runs, sampling, writing
+from corpusloom.plans import assembly, balance, builds, caches, cards, corpus, entries, evals, files, incremental, layouts, probes, replies, runs, sampling, settings, writing
 
-QUERIES = {**corpus.QUERIES, **sampling.QUERIES, **evals.QUERIES, **incremental.QUERIES, **cards.QUERIES, **assembly.QUERIES, **layouts.QUERIES, **probes.QUERIES, **builds.QUERIES, **caches.QUERIES, **files.QUERIES, **replies.QUERIES, **runs.QUERIES, **balance.QUERIES, **writing.QUERIES, **entries.QUERIES}
-SQL = {**corpus.SQL, **sampling.SQL, **evals.SQL, **incremental.SQL, **cards.SQL, **assembly.SQL, **layouts.SQL, **probes.SQL, **builds.SQL, **caches.SQL, **files.SQL, **replies.SQL, **runs.SQL, **balance.SQL, **writing.SQL, **entries.SQL}
+QUERIES = {**corpus.QUERIES, **sampling.QUERIES, **evals.QUERIES, **incremental.QUERIES, **cards.QUERIES, **assembly.QUERIES, **layouts.QUERIES, **probes.QUERIES, **builds.QUERIES, **caches.QUERIES, **files.QUERIES, **replies.QUERIES, **runs.QUERIES, **balance.QUERIES, **writing.QUERIES, **entries.QUERIES, **settings.QUERIES}
+SQL = {**corpus.SQL, **sampling.SQL, **evals.SQL, **incremental.SQL, **cards.SQL, **assembly.SQL, **layouts.SQL, **probes.SQL, **builds.SQL, **caches.SQL, **files.SQL, **replies.SQL, **runs.SQL, **balance.SQL, **writing.SQL, **entries.SQL, **settings.SQL}
 
 
 def flagship(spark, sf_dir):
