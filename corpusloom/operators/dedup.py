@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,11 +136,63 @@ def tfidf(docs: DataFrame, key: str, terms: str, corpus: DataFrame | None = None
     return raw.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+#: Keys of a block of the side that is searched: a block's matrix has a row for each of their terms.
+BLOCK_KEYS = 256
+
+
+def dense(rows: list, width: int) -> tuple[dict, np.ndarray]:
+    """Rows (place, term, weight) as the numbers of their terms and a matrix of terms by places."""
+    vocabulary: dict = {}
+    for _, term, _ in rows:
+        vocabulary.setdefault(term, len(vocabulary))
+    out = np.zeros((len(vocabulary), width))
+    for place, term, weight in rows:
+        out[vocabulary[term], place] = weight
+    return vocabulary, out
+
+
+def _matches(vocabulary: dict, matrix: np.ndarray, matches: list, digits: int):
+    """The best of a block for each row (key, terms, weights) that shares a term with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, best, cosine = [], [], []
+            for i, (terms, weights) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                at = [(vocabulary[t], w) for t, w in zip(terms, weights, strict=True) if t in vocabulary]  # other terms add nothing
+                if at:
+                    rows, w = zip(*at, strict=True)
+                    some = matrix[list(rows)]
+                    score = np.where(some.any(axis=0), np.round(np.array(w) @ some, digits), -np.inf)
+                    j = int(score.argmax())  # the first of equals: matches stand in order
+                    kept.append(i)
+                    best.append(matches[j])
+                    cosine.append(float(score[j]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(best, pa.int64()), pa.array(cosine)], names=["key", "match", "cosine"])
+
+    return run
+
+
 def best_match(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
-    """(key, match, cosine): for each key of a the most similar of b, over shared terms; ties to the smaller match."""
-    left, right = a.withColumnRenamed("weight", "wa"), b.select(F.col("key").alias("match"), "term", F.col("weight").alias("wb"))
-    cosine = left.join(right, "term").groupBy("key", "match").agg(F.round(F.sum(F.col("wa") * F.col("wb")), digits).alias("cosine"))
-    best = cosine.groupBy("key").agg(F.max(F.struct("cosine", (-F.col("match")).alias("m"))).alias("x"))
+    """(key, match, cosine): for each key of a the most similar of b, over shared terms; ties to the smaller match. Keys that share no term have no row.
+
+    b, whose keys are integers, is taken in blocks of BLOCK_KEYS, each a matrix in the tasks that hold a: so a's terms never meet b's in a join, and no pairs are made but the best.
+    """
+    spark, kind = a.sparkSession, a.schema["key"].dataType.simpleString()
+    own = written(a.groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")), "vectors")  # of one document
+    vectors = written(b.select(F.col("key").cast("long").alias("match"), "term", "weight"), "searched")
+    blocks = max(1, -(-vectors.select("match").distinct().count() // BLOCK_KEYS))
+    found = None
+    for k in range(blocks):
+        rows = vectors.filter(F.pmod(F.xxhash64("match"), F.lit(blocks)) == k).collect()  # one block
+        matches = sorted({r["match"] for r in rows})
+        place = {m: i for i, m in enumerate(matches)}
+        vocabulary, matrix = dense([(place[r["match"]], r["term"], r["weight"]) for r in rows], len(matches))
+        shared = spark.sparkContext.broadcast((vocabulary, matrix, matches))
+        own_best = own.mapInArrow(lambda x, shared=shared: _matches(*shared.value, digits)(x), f"key {kind}, match long, cosine double")
+        found = own_best if found is None else found.unionByName(own_best)
+    if blocks == 1:
+        return found
+    best = found.groupBy("key").agg(F.max(F.struct("cosine", (-F.col("match")).alias("m"))).alias("x"))
     return best.select("key", (-F.col("x.m")).alias("match"), F.col("x.cosine").alias("cosine"))
 
 

@@ -129,3 +129,22 @@ def test_family_holdouts_have_their_whole_share(spark, tmp_path, n, families):
         of.setdefault(i * i % families, []).append(i)
     turns = [(k, hashlib.sha256(f"42:holdout:{i}".encode()).hexdigest(), i) for ids in of.values() for k, i in enumerate(ids, 1)]
     assert sorted(got) == sorted((i, k) for k, _, i in sorted(turns)[: round(n * 0.15)])
+
+
+@pytest.mark.parametrize("keys", [256, 3])
+def test_best_match_by_brute_force(spark, monkeypatch, keys):
+    import random
+
+    monkeypatch.setattr(dedup, "BLOCK_KEYS", keys)
+    r = random.Random(keys)
+    vector = lambda: {t: r.choice([0.25, 0.5, 1.0]) for t in r.sample("abcdefgh", r.randint(1, 4))}
+    a, b = {f"d{i}": vector() for i in range(40)} | {"none": {"z": 1.0}}, {i: vector() for i in range(11)}
+    table = lambda of, kind: spark.createDataFrame([(k, t, w) for k, v in of.items() for t, w in v.items()], f"key {kind}, term string, weight double")
+    got = {x["key"]: (x["match"], x["cosine"]) for x in dedup.best_match(table(a, "string"), table(b, "long")).collect()}
+    want = {}
+    for k, v in a.items():
+        some = [(-sum(v[t] * w[t] for t in v if t in w), m) for m, w in b.items() if set(v) & set(w)]
+        if some:
+            want[k] = (min(some)[1], -min(some)[0])
+    assert got == want and dedup.best_match(table(a, "string").limit(0), table(b, "long")).count() == 0
+    assert dedup.best_match(table(a, "string"), table(b, "long").limit(0)).count() == 0
