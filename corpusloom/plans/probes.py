@@ -86,89 +86,116 @@ SELECT name, CASE WHEN a AND b THEN 'both' WHEN a THEN 'S+' WHEN b THEN 'S-' ELS
 """
 
 
-def matched_case(spark, d):
-    a = t(spark, d, "part").withColumn("written", F.when(F.col("p_size") % 2 == 0, F.initcap("p_name")).otherwise(F.col("p_name")))
-    return a.select("p_partkey", P.match_case(F.lower("p_type"), F.col("p_name"), F.col("written")).alias("name"))
+_SPLIT = "string_split(text, ' ')"
 
 
-MATCHED_CASE = "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) ELSE lower(p_type) END AS name FROM part"
+def _word(i):
+    return F.coalesce(F.get(F.split("text", " "), i if not isinstance(i, int) else F.lit(i)), F.lit(""))
 
 
-def resolved_answers(spark, d):
-    """Answers about a part: its name in quotes, a sentence with it, a number, or nothing to tell."""
-    k = F.col("p_partkey") % 5
-    answer = F.when(k == 0, F.concat(F.lit('"'), F.initcap("p_name"), F.lit('".'))).when(k == 1, F.concat(F.lit("the "), F.col("p_name"), F.lit(" I think"))).when(k == 2, F.lit(" None. ")).when(k == 3, F.concat(F.col("p_name"), F.lit(" or "), F.col("p_type"))).otherwise(F.lit("option 2"))
-    names = F.array(F.col("p_name"), F.col("p_type"))
-    return t(spark, d, "part").select("p_partkey", P.resolve_choice(answer, names).alias("choice"), P.resolve_action(answer, F.lit("first"), F.lit("second")).alias("action"))
+def matched_case(spark, d):
+    """Each turn's second word in the case in which its first, third, ... one is written."""
+    at = (F.col("turn") % 4).cast("int")
+    return t(spark, d, "conversations").select("conv_id", "turn", P.match_case(F.lower(_word(1)), F.lower(_word(at)), _word(at)).alias("name"))
+
+
+MATCHED_CASE = f"""
+WITH r AS (SELECT conv_id, turn, lower(coalesce({_SPLIT}[2], '')) AS name, coalesce({_SPLIT}[turn % 4 + 1], '') AS written FROM conversations)
+SELECT conv_id, turn, CASE WHEN substr(written, 1, 1) <> lower(substr(written, 1, 1)) THEN upper(substr(name, 1, 1)) || substr(name, 2) ELSE name END AS name FROM r
+"""
 
 
-RESOLVED_ANSWERS = """
-SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN CASE WHEN contains(p_name, lower(p_type)) THEN 'unknown' ELSE p_name END WHEN 2 THEN 'none' ELSE 'unknown' END AS choice, CASE p_partkey % 5 WHEN 2 THEN 'neither' WHEN 4 THEN 'second' ELSE 'unknown' END AS action FROM part
+def resolved_answers(spark, d):
+    """Answers made of a turn's words about three of its words; and numbers from its lengths about two actions."""
+    turn = F.col("turn")
+    names = F.array(_word(2), _word(4), _word(6))
+    answer = F.when(turn % 5 == 4, _word(turn.cast("int"))).otherwise(F.concat(F.lit(' "'), F.array_join(F.slice(F.split("text", " "), (turn % 3 + 2).cast("int"), (turn % 4 + 1).cast("int")), " "), F.lit('." ')))
+    action = F.concat(F.lit("I pick "), (F.length("text") % 4).cast("string"), F.when(turn % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" or "), (F.length(_word(1)) % 3).cast("string"))))
+    return t(spark, d, "conversations").select("conv_id", "turn", P.resolve_choice(answer, names).alias("choice"), P.resolve_action(action, F.lit("first"), F.lit("second")).alias("action"))
+
+
+RESOLVED_ANSWERS = rf"""
+WITH r AS (SELECT conv_id, turn, [coalesce(w[3], ''), coalesce(w[5], ''), coalesce(w[7], '')] AS names, length(text) % 4 AS x, CASE WHEN turn % 3 <> 0 THEN length(coalesce(w[2], '')) % 3 END AS y,
+    CASE WHEN turn % 5 = 4 THEN coalesce(w[turn + 1], '') ELSE ' "' || array_to_string(w[turn % 3 + 2 : turn % 3 + turn % 4 + 2], ' ') || '." ' END AS answer FROM (SELECT *, {_SPLIT} AS w FROM conversations)),
+s AS (SELECT *, lower(regexp_replace(regexp_replace(trim(answer, ' '), '^["''.]+', ''), '["''.]+$', '')) AS said, list_distinct(list_filter([x, y], lambda n: n IN (1, 2))) AS numbers FROM r),
+e AS (SELECT *, list_filter(names, lambda n: lower(n) = said) AS exact, list_filter(names, lambda n: contains(said, lower(n))) AS inside FROM s)
+SELECT conv_id, turn, CASE WHEN said IN ('none', 'several') THEN said WHEN len(exact) > 0 THEN CASE WHEN len(exact) = 1 THEN exact[1] ELSE 'unknown' END WHEN len(inside) = 1 THEN inside[1] ELSE 'unknown' END AS choice,
+  CASE WHEN len(numbers) <> 1 THEN 'unknown' WHEN numbers[1] = 1 THEN 'first' ELSE 'second' END AS action FROM e
 """
 
 
 def _pairs(spark, d):
-    """A part's story: an opening, then a continuation that names it, its type first for some, at the start for others."""
-    opening = F.concat(F.lit("We have the "), F.col("p_name"), F.lit(" and the "), F.lower("p_type"), F.lit(".\n\n"))
-    k = F.col("p_partkey") % 4
-    rest = F.when(k == 0, F.concat(F.lit("After some thought I take the "), F.col("p_name"), F.lit("."))).when(k == 1, F.concat(F.lit("Not the "), F.lower("p_type"), F.lit(", the "), F.col("p_name"), F.lit("."))).when(k == 2, F.concat(F.initcap("p_name"), F.lit(" it is."))).otherwise(F.lit("I leave it. Or not."))
-    return t(spark, d, "part").select("p_partkey", "p_brand", F.col("p_name").alias("chosen"), F.lower("p_type").alias("other"), F.length(opening).alias("start"), F.concat(opening, rest).alias("text"))
+    """Turns as stories: an opening of some characters, and two of the turn's own words as the options. Words of other letters are found in part, so not as wholes."""
+    rows = t(spark, d, "conversations").withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z]+"), F.lit(0)))
+    word = lambda share: F.coalesce(F.get("w", F.floor(F.size("w") * share).cast("int")), F.lit("zz"))
+    return rows.select("conv_id", "turn", "role", word(0.5).alias("chosen"), word(0.25).alias("other"), (F.col("turn") * 3 + 12).cast("int").alias("start"), "text")
 
 
-_PAIRS = r"""(SELECT p_partkey, p_brand, p_name AS chosen, lower(p_type) AS other, length(o) AS "start", o || CASE p_partkey % 4 WHEN 0 THEN 'After some thought I take the ' || p_name || '.' WHEN 1 THEN 'Not the ' || lower(p_type) || ', the ' || p_name || '.' WHEN 2 THEN upper(substr(p_name, 1, 1)) || substr(p_name, 2) || ' it is.' ELSE 'I leave it. Or not.' END AS text
-  FROM (SELECT *, 'We have the ' || p_name || ' and the ' || lower(p_type) || '.' || chr(10) || chr(10) AS o FROM part))"""
-_WHY = "CASE p_partkey % 4 WHEN 1 THEN 'other_named_first' WHEN 2 THEN 'not_mid_sentence' WHEN 3 THEN 'no_full_name' END"
+_WORD_START = r"(list_filter(range(1, length({1}) + 1), lambda i: substr(lower({1}), i, length({0})) = {0} AND NOT regexp_matches(substr({1}, i - 1, 1), '[\p{{L}}\p{{N}}_''-]') AND NOT regexp_matches(substr({1}, i + length({0}), 1), '[\p{{L}}\p{{N}}_''-]'))[1] - 1)"
+#: Java's $ is the end of a text here, and the borders of words are taken one character at a time, as the rule has them.
+_PAIRS = rf"""(SELECT *, {_WORD_START.format("chosen", "rest")} AS pos, {_WORD_START.format("other", "rest")} AS first_other FROM (
+  SELECT *, substr(text, "start" + 1) AS rest FROM (SELECT conv_id, turn, role, text, coalesce(w[CAST(floor(len(w) * 0.5) AS BIGINT) + 1], 'zz') AS chosen, coalesce(w[CAST(floor(len(w) * 0.25) AS BIGINT) + 1], 'zz') AS other, turn * 3 + 12 AS "start"
+    FROM (SELECT *, regexp_extract_all(lower(text), '[a-z][a-z]+') AS w FROM conversations))))"""
+_CUTS = f"""(SELECT *, CASE WHEN why IS NULL THEN substr(text, 1, "start" + pos - 1) END AS prefix FROM (SELECT *, substr(rest, pos + 1, length(chosen)) AS written,
+  CASE WHEN pos IS NULL THEN 'no_full_name' WHEN first_other < pos THEN 'other_named_first' WHEN coalesce(substr(text, "start" + pos, 1), '') <> ' ' THEN 'not_mid_sentence' END AS why FROM {_PAIRS}))"""
+_PROBLEM = r"""CASE WHEN {0} <> trim({0}, ' ') OR regexp_matches({0}, '^\s|\s$') OR contains({0}, '{{') THEN 'whitespace_or_brace' WHEN NOT contains(lower({0}), chosen) OR NOT contains(lower({0}), other) THEN 'not_in_opening' END"""
 
 
 def cut_probes(spark, d):
-    rows = _pairs(spark, d).select("p_partkey", P.cut_probe(F.col("text"), F.col("start"), F.col("chosen"), F.col("other"), FILLER).alias("e"))
-    return rows.select("p_partkey", "e.prefix", "e.lead_words", "e.chosen", "e.other", "e.skipped")
+    rows = _pairs(spark, d).select("conv_id", "turn", P.cut_probe(F.col("text"), F.col("start"), F.col("chosen"), F.col("other"), FILLER).alias("e"))
+    return rows.select("conv_id", "turn", F.md5("e.prefix").alias("prefix"), "e.lead_words", "e.chosen", "e.other", "e.skipped")
 
 
 CUT_PROBES = f"""
-SELECT p_partkey, CASE WHEN w IS NULL THEN substr(text, 1, "start") || 'After some thought I take the' END AS prefix, CAST(CASE WHEN w IS NULL THEN 6 END AS INTEGER) AS lead_words, CASE WHEN w IS NULL THEN ' ' || chosen END AS chosen, CASE WHEN w IS NULL THEN ' ' || other END AS other, w AS skipped
-FROM (SELECT *, {_WHY} AS w FROM {_PAIRS})
+SELECT conv_id, turn, md5(prefix) AS prefix, CAST(CASE WHEN why IS NULL THEN len(regexp_extract_all(substr(rest, 1, pos - 1), '[A-Za-z0-9][A-Za-z0-9''-]*')) END AS INTEGER) AS lead_words, CASE WHEN why IS NULL THEN ' ' || written END AS chosen,
+  CASE WHEN why IS NULL THEN ' ' || CASE WHEN substr(written, 1, 1) <> lower(substr(written, 1, 1)) THEN upper(substr(other, 1, 1)) || substr(other, 2) ELSE other END END AS other, why AS skipped FROM {_CUTS}
 """
 
 
 def probe_drops(spark, d):
     cut = P.cut_probe(F.col("text"), F.col("start"), F.col("chosen"), F.col("other"), FILLER)
     why = X.let(cut, lambda e: F.coalesce(e["skipped"], P.probe_problem(e["prefix"], [F.col("chosen"), F.col("other")])))
-    return P.drops(_pairs(spark, d), "p_brand", why)
+    return P.drops(_pairs(spark, d), "role", why)
 
 
-PROBE_DROPS = f"SELECT p_brand AS source, {_WHY} AS reason, count(*) AS n FROM {_PAIRS} WHERE p_partkey % 4 <> 0 GROUP BY ALL"
+PROBE_DROPS = f"SELECT role AS source, reason, count(*) AS n FROM (SELECT role, coalesce(why, {_PROBLEM.format('prefix')}) AS reason FROM {_CUTS}) WHERE reason IS NOT NULL GROUP BY ALL"
 
 
 def opening_probes(spark, d):
-    rows = _pairs(spark, d).withColumn("prefix", P.opening_prefix(F.col("text"), F.col("start"), F.lit("So I decide to"), F.col("p_partkey") % 3 == 0))
-    return rows.select("p_partkey", "prefix", P.probe_problem(F.col("prefix"), [F.col("chosen"), F.col("other")]).alias("problem"))
+    rows = _pairs(spark, d).withColumn("start", F.col("start") * 4)
+    rows = rows.withColumn("prefix", P.opening_prefix(F.col("text"), F.col("start"), F.lit("So I decide to"), F.col("conv_id") % 3 == 0))
+    return rows.select("conv_id", "turn", F.md5("prefix").alias("prefix"), P.probe_problem(F.col("prefix"), [F.col("chosen"), F.col("other")]).alias("problem"))
 
 
-OPENING_PROBES = f"""
-SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN substr(text, 1, "start") ELSE rtrim(substr(text, 1, "start"), chr(10)) || chr(10) || chr(10) || 'So I decide to' END AS prefix, CASE WHEN p_partkey % 3 = 0 THEN 'whitespace_or_brace' END AS problem FROM {_PAIRS}
+OPENING_PROBES = rf"""
+SELECT conv_id, turn, md5(p) AS prefix, {_PROBLEM.format("p")} AS problem FROM (
+  SELECT *, CASE WHEN conv_id % 3 = 0 THEN substr(text, 1, "start" * 4) ELSE regexp_replace(substr(text, 1, "start" * 4), '\s+$', '') || chr(10) || chr(10) || 'So I decide to' END AS p FROM {_PAIRS})
 """
 
 
 def located_decisions(spark, d):
     rows = _pairs(spark, d).withColumn("end", V.sentence_end(F.col("text"), F.col("start")))
-    return rows.select("p_partkey", P.locate_decision(F.col("text"), F.col("start"), F.col("chosen"), F.col("other"), FILLER, F.col("end")).alias("e")).select("p_partkey", "e.located", "e.at")
+    return rows.select("conv_id", "turn", P.locate_decision(F.col("text"), F.col("start"), F.col("chosen"), F.col("other"), FILLER, F.col("end")).alias("e")).select("conv_id", "turn", "e.located", "e.at")
 
 
-#: The first word of a name that is neither filler nor in the type stands where the name does, or behind a filler word.
-_LEAD = f"(SELECT *, {_distinct('chosen', 'other')} AS words FROM {_PAIRS})"
-LOCATED_DECISIONS = f"""
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cut' WHEN 3 THEN 'none' ELSE 'mention' END AS located,
-  CAST(CASE p_partkey % 4 WHEN 0 THEN "start" + 30 WHEN 3 THEN "start" + 11 ELSE "start" + list_min(list_transform(words, lambda w: strpos(lower(substr(text, "start" + 1)), w) - 1)) END AS INTEGER) AS "at" FROM {_LEAD}
+LOCATED_DECISIONS = rf"""
+SELECT conv_id, turn, CASE WHEN why IS NULL THEN 'cut' WHEN pos IS NOT NULL THEN 'mention' ELSE 'none' END AS located, CAST(CASE WHEN why IS NULL THEN length(prefix) + 1 WHEN pos IS NOT NULL THEN "start" + pos
+  WHEN e = '' THEN length(text) ELSE "start" + length(e) - CASE WHEN regexp_matches(e, '[.!?][\s"'')\]]$') THEN 1 ELSE 0 END END AS INTEGER) AS "at"
+FROM (SELECT *, regexp_extract(rest, '(?s)^(.*?(?:[.!?](?:[\s"'')\]]|$)|\n))', 1) AS e FROM {_CUTS})
 """
 
 
 def stated_decisions(spark, d):
-    rows = _pairs(spark, d)
-    return rows.select("p_partkey", P.stated(F.col("text"), F.lit("I take"), F.concat(F.lit("The "), F.col("chosen"), F.lit(" home"))).alias("stated"))
+    """Whether a turn states one of its words with the words that follow it, or with those that come one later."""
+    w = P.lower_words(F.col("text"))
+    at = (F.col("turn") % 5 + 1).cast("int")
+    rows = t(spark, d, "conversations").withColumn("w", w).filter(F.size("w") > 10)
+    return rows.select("conv_id", "turn", P.stated(F.col("text"), F.get("w", at), F.concat(F.array_join(F.slice("w", at + 2 + (F.col("conv_id") % 2).cast("int"), 5), " "), F.lit("!"))).alias("stated"))
 
 
-STATED_DECISIONS = f"SELECT p_partkey, p_partkey % 4 = 0 AS stated FROM {_PAIRS}"
+STATED_DECISIONS = f"""
+SELECT conv_id, turn, contains(' ' || array_to_string(w, ' ') || ' ', ' ' || w[turn % 5 + 2] || ' ' || array_to_string(w[turn % 5 + 3 + conv_id % 2 : turn % 5 + 5 + conv_id % 2], ' ')) AS stated FROM (SELECT *, {_WORDS.format('text')} AS w FROM conversations) WHERE len(w) > 10
+"""
 
 
 def spec_lines(spark, d):

@@ -11,48 +11,61 @@ from corpusloom.operators import chat, readout
 from corpusloom.operators import validate as V
 from corpusloom.plans.corpus import t
 
-_REPLY = """CASE p_partkey % 8 WHEN 0 THEN 'A' WHEN 1 THEN '**B**' WHEN 2 THEN 'I say A, not B' WHEN 3 THEN 'neither' WHEN 4 THEN ' 87 ' WHEN 5 THEN '101' WHEN 6 THEN '<think> why </think> so' ELSE 'B is better' END"""
+def _ascii(c):
+    return F.regexp_replace(c, r"[^\x00-\x7F]", " ")
 
 
 def parsed_replies(spark, d):
-    r = F.expr(_REPLY)
-    label = X.judge_label(r)
-    parts = X.split_thinking(r)
-    return t(spark, d, "part").select(
-        "p_partkey", label.alias("label"), X.label_to_preference(label, F.col("p_size") % 2 == 0).alias("preference"), X.verdict(r).alias("verdict"), X.score_0_100(r).alias("score"), parts["thinking"].alias("thinking"), parts["answer"].alias("answer"), parts["closed"].alias("closed"),
-    )
-
-
-PARSED_REPLIES = """
-SELECT p_partkey, label, CASE WHEN label = 'unknown' THEN 'unknown' WHEN (label = 'A') = (p_size % 2 <> 0) THEN 'preference' ELSE 'opposite' END AS preference, verdict, score, thinking, answer, TRUE AS closed FROM (
-  SELECT *, CASE p_partkey % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 7 THEN 'B' ELSE 'unknown' END AS label, CASE p_partkey % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 3 THEN 'NEITHER' END AS verdict, CAST(CASE p_partkey % 8 WHEN 4 THEN 87 END AS INTEGER) AS score,
-    CASE p_partkey % 8 WHEN 6 THEN 'why' ELSE '' END AS thinking, CASE p_partkey % 8 WHEN 0 THEN 'A' WHEN 1 THEN '**B**' WHEN 2 THEN 'I say A, not B' WHEN 3 THEN 'neither' WHEN 4 THEN ' 87 ' WHEN 5 THEN '101' WHEN 6 THEN 'so' ELSE 'B is better' END AS answer FROM part)
+    """Turns as replies: the label that their words give, a word of theirs as a verdict, their length as a score, and their first sentence as thinking."""
+    turn, text = F.col("turn"), F.col("text")
+    label = X.judge_label(_ascii(text))
+    word = F.concat(F.lit("**"), F.coalesce(F.get(F.split("text", " "), turn.cast("int") + 1), F.lit("")), F.lit("**."))
+    thought = X.split_thinking(F.concat(F.when(F.col("conv_id") % 2 == 0, F.lit("<think>")).otherwise(F.lit("")), F.replace(text, F.lit(". "), F.lit(" </think> "))))
+    rows = t(spark, d, "conversations").select("conv_id", "turn", label.alias("label"), X.label_to_preference(label, turn % 2 == 0).alias("preference"), X.verdict(word).alias("verdict"), X.score_0_100(F.concat(F.lit(" "), (F.length(text) % 130).cast("string"))).alias("score"), thought.alias("t"))
+    return rows.select("conv_id", "turn", "label", "preference", "verdict", "score", F.md5("t.thinking").alias("thinking"), F.md5("t.answer").alias("answer"), "t.closed")
+
+
+PARSED_REPLIES = r"""
+WITH r AS (SELECT *, upper(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g')) AS u, coalesce(string_split(text, ' ')[turn + 2], '') AS w, CASE WHEN conv_id % 2 = 0 THEN '<think>' ELSE '' END || replace(text, '. ', ' </think> ') AS x FROM conversations),
+l AS (SELECT *, CASE WHEN regexp_matches(u, 'UNKNOWN|NEITHER|TIE|BOTH') THEN 'unknown' WHEN regexp_matches(u, '\bA\b') AND NOT regexp_matches(u, '\bB\b') THEN 'A' WHEN regexp_matches(u, '\bB\b') AND NOT regexp_matches(u, '\bA\b') THEN 'B' ELSE 'unknown' END AS label,
+  strpos(x, '</think>') AS p, x LIKE '<think>%' AS o, regexp_extract(upper('**' || w || '**.'), '^[\s*_`#"''().]*(A|B|NEITHER)[\s*_`"''().]*$', 1) AS v FROM r)
+SELECT conv_id, turn, label, CASE WHEN label = 'unknown' THEN 'unknown' WHEN (label = 'A') = (turn % 2 <> 0) THEN 'preference' ELSE 'opposite' END AS preference, nullif(v, '') AS verdict, CAST(CASE WHEN length(text) % 130 <= 100 THEN length(text) % 130 END AS INTEGER) AS score,
+  md5(CASE WHEN p > 0 OR o THEN trim(regexp_replace(CASE WHEN p > 0 THEN substr(x, 1, p - 1) ELSE x END, '^<think>', ''), ' ') ELSE '' END) AS thinking, md5(CASE WHEN p > 0 THEN trim(substr(x, p + 8), ' ') WHEN o THEN '' ELSE x END) AS answer, NOT o OR p > 0 AS closed FROM l
 """
 
 
 def normal_forms(spark, d):
-    c = F.col("c_name")
-    return t(spark, d, "customer").select(
-        "c_custkey", X.unquote(F.concat(F.lit(' "'), c, F.lit('  x" '))).alias("unquoted"), X.norm_key(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit("-A b "))).alias("key"), X.path_safe(F.concat(c, F.lit("/a:b?"))).alias("path"), X.slug(c).alias("slug"),
-        X.digest(42, "text", c).alias("digest"), X.last_block(F.concat(F.lit("<x>1</x><x> "), c, F.lit(" </x>")), "x").alias("block"),
+    """Normal forms of pieces of pages and of their addresses."""
+    html, k = F.col("html"), F.col("page_id")
+    piece = lambda n: F.substr(html, (k % 60 + 20).cast("int"), F.lit(n))
+    return t(spark, d, "pages").select(
+        "page_id", X.unquote(F.when(k % 2 == 0, F.concat(F.lit(' "'), piece(40), F.lit('" '))).otherwise(piece(40))).alias("unquoted"), X.norm_key(piece(25)).alias("key"), X.path_safe(F.concat(F.col("url"), piece(12))).alias("path"), X.slug(F.col("url")).alias("slug"),
+        X.digest(42, "text", F.col("url")).alias("digest"), F.md5(X.last_block(html, "p")).alias("block"),
     )
 
 
-NORMAL_FORMS = """
-SELECT c_custkey, c_name || ' x' AS unquoted, lower(c_mktsegment) || '_a_b' AS key, c_name || '_a_b_' AS path, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug, sha256('42:text:' || c_name) AS digest, c_name AS block FROM customer
+NORMAL_FORMS = r"""
+WITH p AS (SELECT page_id, url, html, substr(html, page_id % 60 + 20, 40) AS a, substr(html, page_id % 60 + 20, 25) AS b, substr(html, page_id % 60 + 20, 12) AS c, regexp_extract(html, '(?s).*<p>(.*?)</p>', 1) AS block FROM pages),
+q AS (SELECT *, trim(regexp_replace(CASE WHEN page_id % 2 = 0 THEN ' "' || a || '" ' ELSE a END, '\s+', ' ', 'g'), ' ') AS t FROM p)
+SELECT page_id, CASE WHEN length(t) >= 2 AND substr(t, 1, 1) IN (chr(39), '"') AND substr(t, 1, 1) = right(t, 1) THEN trim(substr(t, 2, length(t) - 2), ' ') ELSE t END AS unquoted, translate(lower(trim(b, ' ')), '- ', '__') AS key,
+  substr(trim(regexp_replace(url || c, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), ' '), 1, 200) AS path, trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_') AS slug, sha256('42:text:' || url) AS digest, md5(nullif(regexp_replace(regexp_replace(block, '^\s+', ''), '\s+$', ''), '')) AS block FROM q
 """
 
 
 def repaired_json(spark, d):
-    """Replies whose JSON is whole, fenced, within prose, cut off, or not there."""
-    body = F.concat(F.lit('{"k": '), F.col("p_partkey").cast("string"), F.lit(', "n": "'), F.col("p_name"), F.lit('"}'))
-    kind = F.col("p_partkey") % 5
-    reply = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here: "), body, F.lit(" Done."))).when(kind == 3, F.substr(body, F.lit(1), F.length(body) - 4)).otherwise("none")
+    """Turns in replies whose JSON is whole, fenced, within prose, cut off by some characters, or not there."""
+    said = F.translate("text", "\n\r\t\"\\[]{}", "         ")
+    body, kind = F.to_json(F.struct(F.col("turn").alias("k"), said.alias("n"))), F.col("conv_id") % 5
+    cut = (F.col("turn") % 9 + 1).cast("int")
+    reply = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here: "), body, F.lit(" Done."))).when(kind == 3, F.substr(body, F.lit(1), F.length(body) - cut)).otherwise(said)
     out = repair.repaired(reply, "k long, n string")
-    return t(spark, d, "part").select("p_partkey", out["k"].alias("k"), out["n"].alias("n"))
+    return t(spark, d, "conversations").select("conv_id", "turn", out["k"].alias("k"), F.md5(out["n"]).alias("n"))
 
 
-REPAIRED_JSON = "SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN p_partkey END AS k, CASE p_partkey % 5 WHEN 4 THEN NULL WHEN 3 THEN substr(p_name, 1, length(p_name) - 2) ELSE p_name END AS n FROM part"
+REPAIRED_JSON = r"""
+WITH r AS (SELECT conv_id, turn, translate(text, chr(10) || chr(13) || chr(9) || '"\[]{}', '         ') AS said FROM conversations)
+SELECT conv_id, turn, CASE WHEN conv_id % 5 < 4 THEN turn END AS k, md5(CASE conv_id % 5 WHEN 4 THEN NULL WHEN 3 THEN CASE WHEN turn % 9 = 0 THEN said ELSE regexp_replace(rtrim(substr(said, 1, greatest(length(said) - (turn % 9 - 1), 0)), ' '), ',+$', '') END ELSE said END) AS n FROM r
+"""
 
 
 def position_classes(spark, d):
