@@ -73,16 +73,17 @@ FOUND_PHRASES = f"SELECT item_id, array_to_string(list_filter(['of the', 'in the
 
 
 def spec_mentions(spark, d):
-    """Which of two items names a word, for the words of part names; plurals count."""
-    words = t(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
-    one = t(spark, d, "supplier").select(F.concat_ws(". ", F.lit("Rings and a boxes"), F.lit("small-plate red")).alias("a"), F.lit("A RED widget, gearses").alias("b")).distinct()
-    return words.crossJoin(one).select("name", P.named_by(F.col("name"), F.col("a"), F.col("b")).alias("named"))
+    """Which of two neighbouring items names a word of the first one's middle; plurals count."""
+    a = t(spark, d, "benchmark").select("item_id", "text", F.get(P.lower_words(F.col("text")), F.floor(F.size(P.lower_words(F.col("text"))) / 2).cast("int")).alias("name"))
+    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return a.join(b, "item_id").filter("name IS NOT NULL").select("item_id", "name", P.named_by(F.col("name"), F.col("text"), F.col("other")).alias("named"))
 
 
-_NAMES = r"regexp_matches('{0}', '(?i)(?:^|[^\w-])' || name || '(?:s|es)?(?:$|[^\w-])')"
+_NAMES = r"regexp_matches({0}, '(?i)(?:^|[^\p{{L}}\p{{N}}_-])' || name || '(?:s|es)?(?:$|[^\p{{L}}\p{{N}}_-])')"
 SPEC_MENTIONS = f"""
-WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part), m AS (SELECT name, {_NAMES.format("Rings and a boxes. small-plate red")} AS a, {_NAMES.format("A RED widget, gearses")} AS b FROM w)
-SELECT name, CASE WHEN a AND b THEN 'both' WHEN a THEN 'S+' WHEN b THEN 'S-' ELSE 'none' END AS named FROM m
+WITH w AS (SELECT item_id, text, {_WORDS.format('text')} AS w FROM benchmark), n AS (SELECT a.item_id, a.w[len(a.w) // 2 + 1] AS name, a.text, b.text AS other FROM w a JOIN w b ON b.item_id = a.item_id + 1 WHERE len(a.w) > 0),
+m AS (SELECT item_id, name, {_NAMES.format("text")} AS a, {_NAMES.format("other")} AS b FROM n)
+SELECT item_id, name, CASE WHEN a AND b THEN 'both' WHEN a THEN 'S+' WHEN b THEN 'S-' ELSE 'none' END AS named FROM m
 """
 
 
@@ -235,32 +236,53 @@ SELECT item_id, array_to_string(list_filter([CASE WHEN contains(text, chr(10)) T
 
 
 def audit_replies(spark, d):
-    """Flags and lists of an auditor, as JSON gives them."""
-    k = F.col("event_id") % 4
-    flag = F.when(k == 0, F.lit("True")).when(k == 1, F.lit(" false ")).when(k == 2, F.lit("maybe"))
-    listed = F.when(k == 0, F.concat(F.lit('["'), F.col("event_type"), F.lit('", " none ", "x"]'))).when(k == 1, F.col("event_type")).when(k == 2, F.lit(""))
-    return t(spark, d, "events").select("event_id", P.as_boolean(flag).alias("flag"), _csv(P.as_list(listed, ["none", ""])).alias("issues"))
-
-
-AUDIT_REPLIES = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS flag, CASE event_id % 4 WHEN 0 THEN event_type || ',x' WHEN 1 THEN event_type ELSE '' END AS issues FROM events"
+    """Flags and lists of an auditor, made of the turns' own words: a word as a flag, a JSON list of words, or a text alone."""
+    low, k = F.lower(F.translate("text", "\"\\\n", "   ")), F.col("turn") % 3
+    words = F.slice(F.split(low, " "), 2, 4)
+    flag = F.when(F.length("text") % 3 == 0, F.concat(F.lit(" "), F.when(F.col("role") == "user", "True").otherwise("false "))).otherwise(F.get(words, F.lit(0)))
+    listed = F.when(k == 0, F.to_json(F.transform(words, lambda w: F.concat(F.lit(" "), w)))).when(k == 1, F.substring(low, 1, 12))
+    return t(spark, d, "conversations").select("conv_id", "turn", P.as_boolean(flag).alias("flag"), _csv(P.as_list(listed, ["the", "la", "die", ""])).alias("issues"))
+
+
+AUDIT_REPLIES = r"""
+WITH r AS (SELECT *, lower(translate(text, '"\' || chr(10), '   ')) AS low FROM conversations), w AS (SELECT *, string_split(low, ' ')[2:5] AS w FROM r),
+l AS (SELECT *, CASE turn % 3 WHEN 0 THEN w WHEN 1 THEN CASE WHEN trim(substr(low, 1, 12), ' ') <> '' THEN [substr(low, 1, 12)] ELSE [] END END AS items FROM w)
+SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN role = 'user' ELSE CASE lower(trim(w[1], ' ')) WHEN 'true' THEN TRUE WHEN 'false' THEN FALSE END END AS flag,
+  CASE WHEN turn % 3 = 2 THEN '' ELSE array_to_string(list_filter(list_transform(items, lambda x: trim(x, ' ')), lambda x: x NOT IN ('the', 'la', 'die', '')), ',') END AS issues FROM l
+"""
 
 
 def cleaned_names(spark, d):
-    rows = t(spark, d, "customer").withColumn("said", F.concat(F.lit(' "'), F.col("c_mktsegment"), F.lit("  of/é "), F.col("c_name"), F.lit('." ')))
-    return rows.select("c_custkey", P.clean_text(F.col("said")).alias("clean"), P.clean_action(F.concat(F.col("c_mktsegment"), F.lit("  now."))).alias("action"), P.path_name(F.col("c_name")).alias("path"), P.fold(F.concat(F.lit("É"), F.col("c_mktsegment"))).alias("folded"), P.reason_code(F.concat("c_mktsegment", F.lit(": x: y"))).alias("code"), P.topic_filled(F.lit("about {T}, {T}"), "{T}", F.col("c_mktsegment")).alias("filled"), P.prefix_count(F.col("said"), ["cust", "of"]).alias("hits"))
-
-
-CLEANED_NAMES = """
-SELECT c_custkey, c_mktsegment || ' of/é ' || c_name AS clean, c_mktsegment || ' now' AS action, replace(c_name, '#', '_') AS path, 'e' || lower(c_mktsegment) AS folded, c_mktsegment AS code, 'about ' || c_mktsegment || ', ' || c_mktsegment AS filled, 2 AS hits FROM customer
+    """Normal forms of pieces of documents."""
+    k, text = F.col("doc_id"), F.col("text")
+    piece = F.substr(text, (k % 40 + 1).cast("int"), (k % 50 + 10).cast("int"))
+    rows = t(spark, d, "documents").withColumn("said", piece)
+    said = F.col("said")
+    return rows.select(
+        "doc_id", P.clean_text(F.concat(F.lit(' "'), said, F.lit('." '))).alias("clean"), P.clean_action(said).alias("action"), P.path_name(said).alias("path"), P.fold(said).alias("folded"), P.reason_code(F.replace(said, F.lit("."), F.lit(":"))).alias("code"),
+        P.topic_filled(F.replace(said, F.lit(" "), F.lit(" {T} ")), "{T}", F.col("source")).alias("filled"), P.prefix_count(F.regexp_replace(said, r"[^\x00-\x7F]", " "), ["th", "in", "de"]).alias("hits"), P.word_count(said).alias("words"),
+    )
+
+
+CLEANED_NAMES = rf"""
+WITH p AS (SELECT doc_id, source, substr(text, doc_id % 40 + 1, doc_id % 50 + 10) AS said FROM documents), c AS (SELECT *, trim(regexp_replace(' "' || said || '." ', '\s+', ' ', 'g'), ' ') AS quoted, trim(regexp_replace(said, '\s+', ' ', 'g'), ' ') AS one FROM p)
+SELECT doc_id, regexp_replace(regexp_replace(quoted, '^["''.\s]+', ''), '["''.\s]+$', '') AS clean, regexp_replace(one, '\.$', '') AS action, regexp_replace(said, '[^A-Za-z0-9_.-]', '_', 'g') AS path, translate(lower(said), '{P.MARKED}', '{P.PLAIN}') AS folded,
+  split_part(replace(said, '.', ':'), ':', 1) AS code, replace(replace(said, ' ', ' {{T}} '), '{{T}}', source) AS filled, CAST(len(regexp_extract_all(regexp_replace(said, '[^\x00-\x7F]', ' ', 'g'), '(?i)\b(?:th|in|de)\w*')) AS INTEGER) AS hits,
+  CAST(len(regexp_extract_all(said, '[A-Za-z0-9][A-Za-z0-9''-]*')) AS INTEGER) AS words FROM c
 """
 
 
 def content_blocks(spark, d):
-    text = F.concat(F.lit("<content> old </content> and <content>\n"), F.col("text"), F.lit(" </content> "))
-    return t(spark, d, "benchmark").select("item_id", P.content_block(text).alias("content"))
+    """The last block of a tag that is not empty, in texts whose sentences are cut into blocks; some blocks never close."""
+    text = F.concat(F.lit("<content>"), F.replace(F.substr(F.col("text"), F.lit(1), F.lit(600)), F.lit("."), F.lit("</content>\n<content> ")), F.when(F.col("doc_id") % 2 == 0, F.lit("</content>")).otherwise(F.lit("")))
+    return t(spark, d, "documents").select("doc_id", F.md5(P.content_block(text)).alias("content"))
 
 
-CONTENT_BLOCKS = "SELECT item_id, trim(text) AS content FROM benchmark"
+CONTENT_BLOCKS = r"""
+WITH p AS (SELECT doc_id, '<content>' || replace(substr(text, 1, 600), '.', '</content>' || chr(10) || '<content> ') || CASE WHEN doc_id % 2 = 0 THEN '</content>' ELSE '' END AS x FROM documents),
+b AS (SELECT doc_id, string_split(x, '</content>') AS b FROM p), c AS (SELECT doc_id, string_split(b[len(b) - 1], '<content>') AS c FROM b WHERE len(b) > 1 UNION ALL SELECT doc_id, NULL FROM b WHERE len(b) = 1)
+SELECT doc_id, md5(nullif(regexp_replace(regexp_replace(c[len(c)], '^\s+', ''), '\s+$', ''), '')) AS content FROM c
+"""
 
 
 QUERIES = {

@@ -119,20 +119,27 @@ WHERE whole AND has_prompt AND conv_id % 4 <> 1 AND NOT (conv_id % 4 = 0 AND has
 
 
 def minimal_pairs(spark, d):
-    """Pairs of documents about a part, some of them broken in one way each: what the checks say."""
-    k = F.col("p_partkey") % 6
-    opening = F.concat(F.lit("It is "), F.col("p_name"), F.lit(". "))
-    at = F.length(opening)
-    pos = F.concat(opening, F.lit("I keep it."))
-    neg = F.when(k == 1, pos).when(k == 2, F.concat(F.lit("X"), F.substr(opening, F.lit(2), at), F.lit("I sell it."))).otherwise(F.concat(opening, F.lit("I sell it.")))
-    options = F.struct(F.lit("keep it").alias("aligned"), F.when(k == 3, "keep it").otherwise("sell it").alias("misaligned"))
-    choice = F.struct(F.when(k == 4, at - 1).otherwise(at + 2).alias("choice_char"))
-    rows = t(spark, d, "part").select("p_partkey", F.when(k == 5, "all").otherwise("train").alias("split"), F.lit("reason_first").alias("order"), at.alias("continuation_start_char"), options.alias("options"), F.struct(choice.alias("pos"), F.struct((at + 2).alias("choice_char")).alias("neg")).alias("decision"), pos.alias("text_pos"), neg.alias("text_neg"))
-    return rows.select("p_partkey", F.array_join(V.problems(V.pair_checks()), ",").alias("problems"))
-
-
-MINIMAL_PAIRS = """
-SELECT p_partkey, CASE p_partkey % 6 WHEN 1 THEN 'texts_equal,choice_elsewhere' WHEN 2 THEN 'openings_differ' WHEN 3 THEN 'options,choice_elsewhere' WHEN 4 THEN 'choice_in_opening,choice_elsewhere' WHEN 5 THEN 'split' ELSE '' END AS problems FROM part
+    """Pairs made of a document's first two sentences and its words: what the checks say of the ones whose parts happen not to fit, or were cut elsewhere."""
+    k, text = F.col("doc_id"), F.col("text")
+    sentence = lambda i: F.coalesce(F.get(F.split(text, r"[.!?]\s*", -1), F.lit(i)), F.lit(""))
+    word = lambda i: F.coalesce(F.get(F.split(sentence(1), " "), F.lit(i)), F.lit(""))
+    rows = t(spark, d, "documents").select("doc_id", "lang", F.concat(sentence(0), F.lit(". ")).alias("opening"), word(0).alias("a"), word(2).alias("m"))
+    opening, at = F.col("opening"), F.length("opening")
+    changed = F.when(k % 5 == 1, F.concat(F.lower(F.substring(opening, 1, 1)), F.substr(opening, F.lit(2), at))).otherwise(opening)
+    place = lambda off: F.struct((at + 2 - off).cast("int").alias("choice_char"))
+    rows = rows.select(
+        "doc_id", F.when(k % 7 == 3, F.col("lang")).otherwise("train").alias("split"), F.lit("reason_first").alias("order"), at.alias("continuation_start_char"), F.struct(F.col("a").alias("aligned"), F.col("m").alias("misaligned")).alias("options"),
+        F.struct(place(F.when(k % 11 == 4, 3).otherwise(0)).alias("pos"), place(F.when(k % 13 == 5, 1).otherwise(0)).alias("neg")).alias("decision"), F.concat(opening, F.lit("I "), F.col("a"), F.lit(".")).alias("text_pos"), F.concat(changed, F.lit("I "), F.col("m"), F.lit(".")).alias("text_neg"),
+    )
+    return rows.select("doc_id", F.array_join(V.problems(V.pair_checks()), ",").alias("problems"))
+
+
+MINIMAL_PAIRS = r"""
+WITH s AS (SELECT doc_id, lang, string_split_regex(text, '[.!?]\s*') AS s FROM documents), w AS (SELECT doc_id, coalesce(s[1], '') || '. ' AS o, string_split(coalesce(s[2], ''), ' ') AS w, CASE WHEN doc_id % 7 = 3 THEN lang ELSE 'train' END AS sp FROM s),
+p AS (SELECT *, coalesce(w[1], '') AS a, coalesce(w[3], '') AS m, length(o) AS at_, CASE WHEN doc_id % 5 = 1 THEN lower(substr(o, 1, 1)) || substr(o, 2) ELSE o END AS o2, CASE WHEN doc_id % 11 = 4 THEN 3 ELSE 0 END AS dp, CASE WHEN doc_id % 13 = 5 THEN 1 ELSE 0 END AS dn FROM w),
+t AS (SELECT *, o || 'I ' || a || '.' AS tp, o2 || 'I ' || m || '.' AS tn FROM p)
+SELECT doc_id, concat_ws(',', CASE WHEN sp NOT IN ('train', 'dev', 'test') THEN 'split' END, CASE WHEN trim(a, ' ') = '' OR trim(m, ' ') = '' OR a = m THEN 'options' END, CASE WHEN tp = tn THEN 'texts_equal' END, CASE WHEN o <> o2 THEN 'openings_differ' END,
+  CASE WHEN dp > 2 THEN 'choice_in_opening' END, CASE WHEN substr(tp, at_ + 3 - dp, length(a)) <> a OR substr(tn, at_ + 3 - dn, length(m)) <> m THEN 'choice_elsewhere' END) AS problems FROM t
 """
 
 
