@@ -60,10 +60,16 @@ MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaa
 def phrase_starts(text: Column, phrase: Column) -> Column:
     """All starts of a phrase as a whole, in any case, counted from 0. Word characters, apostrophes and hyphens border it."""
     t, p = F.lower(text), F.lower(phrase)
-    hit = lambda i: F.substr(t, i, F.length(p)) == p
-    free = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"(?U)^[\w'-]$")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: hit(i) & free(F.when(i > 1, F.substr(t, i - 1, F.lit(1)))) & free(F.substr(t, i + F.length(p), F.lit(1))))
-    return F.when(F.contains(t, p) & (F.length(p) > 0), F.transform(starts, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    escaped = F.regexp_replace(p, r"([.^$*+?()\[\]{}|\\-])", r"\\$1")
+    # The text is cut before each start, in one pass; a space before it lets it begin with one.
+    cut = F.split(F.concat(F.lit(" "), t), F.concat(F.lit(r"(?U)(?<![\w'-])(?="), escaped, F.lit(r"(?![\w'-]))")), -1)
+    zero = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def starts(parts: Column) -> Column:
+        step = lambda a, s: F.struct((a["at"] + F.length(s)).cast("int").alias("at"), F.concat(a["out"], F.array((a["at"] + F.length(s)).cast("int"))).alias("out"))
+        return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), zero, step)["out"]
+
+    return F.when(F.contains(t, p) & (F.length(p) > 0), X.let(cut, starts)).otherwise(F.array().cast("array<int>"))
 
 
 def first_start(text: Column, phrases: Column) -> Column:

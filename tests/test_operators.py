@@ -148,3 +148,16 @@ def test_best_match_by_brute_force(spark, monkeypatch, keys):
             want[k] = (min(some)[1], -min(some)[0])
     assert got == want and dedup.best_match(table(a, "string").limit(0), table(b, "long")).count() == 0
     assert dedup.best_match(table(a, "string"), table(b, "long").limit(0)).count() == 0
+
+
+def test_phrase_starts_by_brute_force(spark):
+    import random
+
+    from corpusloom.operators import probes
+
+    r = random.Random(8)
+    rows = [("".join(r.choice(["a", "b", " ", "é", "-", "'", ".", "😀", "A", "(", "a a"]) for _ in range(r.randint(0, 30))), r.choice(["a", "ab", "a a", "é", ".", "(", "a.b", "-a", "", "😀", "a-b"])) for _ in range(400)]
+    word = lambda c: bool(c) and (c.isalnum() or c in "_'-")
+    want = [[i for i in range(len(t)) if p and t.lower().startswith(p, i) and not word(t[i - 1 : i] if i else "") and not word(t[i + len(p) : i + len(p) + 1])] for t, p in rows]
+    got = spark.createDataFrame(rows, "t string, p string").select(probes.phrase_starts(F.col("t"), F.col("p")).alias("s")).collect()
+    assert [x["s"] for x in got] == want
