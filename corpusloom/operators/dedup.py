@@ -178,7 +178,8 @@ def best_match(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
     b, whose keys are integers, is taken in blocks of BLOCK_KEYS, each a matrix in the tasks that hold a: so a's terms never meet b's in a join, and no pairs are made but the best.
     """
     spark, kind = a.sparkSession, a.schema["key"].dataType.simpleString()
-    own = written(a.groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")), "vectors")  # of one document
+    some = a.join(b.select("term").distinct(), "term", "left_semi")  # other terms add nothing
+    own = written(some.groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")), "vectors")  # of one document
     vectors = written(b.select(F.col("key").cast("long").alias("match"), "term", "weight"), "searched")
     blocks = max(1, -(-vectors.select("match").distinct().count() // BLOCK_KEYS))
     found = None
