@@ -79,35 +79,43 @@ EXACT = ("eval_{r}-gpt_{s}", "eval_{r}-gpt-{s}", "eval_{r}_{s}", "eval_{r}-{s}")
 LOOSE = ("eval_{r}-gpt*_{s}", "eval_{r}-gpt*-{s}", "eval_{r}-*_{s}", "eval_{r}-*-{s}")
 
 
+def _readings(name: Column) -> Column:
+    """All that the name of a folder without its eval_ can be: structs (label, split, rank), by the patterns above.
+
+    A label ends at a hyphen or underscore and a split begins after one, so the readings are pairs of those in one name.
+    """
+    at = F.filter(F.sequence(F.lit(1), F.length(name)), lambda i: F.substr(name, i, F.lit(1)).isin("_", "-"))
+
+    def rank(i: Column, j: Column) -> Column:
+        under, between = F.substr(name, j, F.lit(1)) == "_", F.substr(name, i + 1, j - i - 1)
+        of = lambda a: F.when(under, a).otherwise(a + 1)
+        far = F.when(between == "gpt", of(0)).when(between.startswith("gpt"), of(4)).otherwise(of(6))
+        return F.when(i == j, of(2)).when(F.substr(name, i, F.lit(1)) == "-", far)
+
+    def ways(i: Column, j: Column) -> Column:
+        rest, label = F.substr(name, j + 1, F.length(name)), F.substr(name, F.lit(1), i - 1)
+        one = lambda split, merged: F.struct(label.alias("label"), split.alias("split"), (rank(i, j) * 2 + merged).alias("rank"))
+        return F.array(one(rest, 0), F.when(rest.endswith("_merged"), one(F.substr(rest, F.lit(1), F.length(rest) - 7), 1)))
+
+    found = F.flatten(F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda j: j >= i), lambda j: ways(i, j)))))
+    return F.when(F.length(name) > 0, F.filter(found, lambda x: x["rank"].isNotNull()))
+
+
 def summary_paths(runs: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
     """runs (model, label, split, override) with summary: the first place that has one in a listing of summary.json files, or null.
 
     An override counts alone: it is there or nothing is. Places are ranked: base, then exact names before patterns, each as it is and then with _merged, matches of a
-    pattern by path. A listing is met by base and split, so no pattern meets all of it.
+    pattern by path. Each path is taken apart into the labels and splits that it can be of, and the best of each is met by both: no pattern is tried on a path.
     """
-    parts = F.regexp_extract_all(F.col(path), F.lit(rf"^({'|'.join(BASES)})/(eval_[^/]*)/summary\.json$"), F.lit(2))
-    base = F.regexp_extract(F.col(path), rf"^({'|'.join(BASES)})/eval_[^/]*/summary\.json$", 1)
-    there = listing.select(F.col(path).alias("__path"), base.alias("__base"), F.get(parts, F.lit(0)).alias("__name")).filter("__name IS NOT NULL")
-    there = there.withColumn("__split", F.regexp_extract(F.regexp_replace("__name", "_merged$", ""), r"[-_]([^-_]*)$", 1))
-    quoted = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
-
-    def place(i: int, b: str, j: int, pattern: str, merged: bool) -> Column:
-        text = F.concat(*[{"{r}": quoted(F.col("label")), "{s}": quoted(F.col("split")), "*": F.lit(".*")}.get(p, F.lit(p)) for p in _pieces(pattern)], F.lit("_merged" if merged else ""))
-        return F.struct(F.lit(b).alias("base"), F.lit(i * 100 + j * 2 + merged).alias("rank"), F.concat(F.lit("^"), text, F.lit("$")).alias("like"))
-
-    places = [place(i, b, j, p, m) for i, b in enumerate(BASES) for j, p in enumerate(EXACT + LOOSE) for m in (False, True)]
-    own = runs.filter("override IS NULL").withColumn("__at", F.explode(F.array(*places))).withColumn("__b", F.col("__at.base"))
-    met = own.join(there, (F.col("__b") == F.col("__base")) & (F.element_at(F.split("split", "[-_]"), -1) == F.col("__split")) & F.regexp_like("__name", F.col("__at.like")))
-    first = dedup(met.select("model", "split", F.col("__at.rank").alias("rank"), F.col("__path").alias("summary")), ["model", "split"], ["rank", "summary"]).select("model", "split", F.col("summary").alias("__found"))
+    form = rf"(?s)^({'|'.join(BASES)})/eval_([^/]*)/summary\.json$"
+    part = lambda i: F.regexp_extract(F.col(path), form, i)
+    there = listing.filter(F.col(path).rlike(form)).select(F.col(path).alias("__path"), F.array_position(F.array(*map(F.lit, BASES)), part(1)).alias("__base"), part(2).alias("__name"))
+    there = there.select("__path", "__base", F.explode(_readings(F.col("__name"))).alias("__r"))
+    first = F.min(F.struct((F.col("__base") * 100 + F.col("__r.rank")).alias("rank"), "__path"))
+    first = there.groupBy(F.col("__r.label").alias("__l"), F.col("__r.split").alias("__s")).agg(first.alias("__first"))
     fixed = listing.select(F.col(path).alias("__fixed")).distinct()
-    both = runs.join(first, ["model", "split"], "left").join(fixed, F.col("override") == F.col("__fixed"), "left")
-    return both.select(*runs.columns, F.when(F.col("override").isNotNull(), F.col("__fixed")).otherwise(F.col("__found")).alias("summary"))
-
-
-def _pieces(pattern: str) -> list[str]:
-    import re
-
-    return [p for p in re.split(r"(\{r\}|\{s\}|\*)", pattern) if p]
+    both = runs.join(first, (F.col("label") == F.col("__l")) & (F.col("split") == F.col("__s")), "left").join(fixed, F.col("override") == F.col("__fixed"), "left")
+    return both.select(*runs.columns, F.when(F.col("override").isNotNull(), F.col("__fixed")).otherwise(F.col("__first.__path")).alias("summary"))
 
 
 # --- cards ------------------------------------------------------------------------------------------------------------------

@@ -53,3 +53,30 @@ def test_jobs_in_turn(spark):
     assert sorted(tuple(r) for r in odd.collect()) == [("b", "n"), ("c d", "bad_name"), ("e", "no_text"), ("f", "repeated")]
     jobs, odd = settings.job_rows(p, spark.createDataFrame([(0, "zz"), (1, "a"), (2, "a")], "place int, name string"))
     assert [tuple(r)[:2] for r in jobs.collect()] == [(1, "a")] and ("zz", "missing") in [tuple(r) for r in odd.collect()]
+
+
+def test_summaries_are_met_by_label_and_split(spark):
+    """As the patterns say, tried one by one; labels and splits may hold what borders them."""
+    import random
+    import re
+
+    r = random.Random(5)
+    word = lambda: r.choice(["m", "n", "m-a", "m_a", "x.y", "gpt", "gpt4", "merged", "", "a-gpt"])
+    splits = ["ood", "in_domain", "ood_merged", "merged", "a-b", ""]
+    listing = sorted({f"{r.choice(settings.BASES)}/eval_{word()}{r.choice('-_')}{word()}{r.choice('-_')}{r.choice(splits)}{r.choice(['', '_merged'])}/summary.json" for _ in range(400)})
+    runs = [(f"k{i}", label, s, None) for i, (label, s) in enumerate((a, s) for a in ("m", "n", "m-a", "m_a", "x.y", "xzy", "", "a\\Eb") for s in splits)]
+    got = settings.summary_paths(spark.createDataFrame(runs, "model string, label string, split string, override string"), spark.createDataFrame([(x,) for x in listing], "path string"))
+
+    def first(label, split):
+        for base in settings.BASES:
+            for pattern in settings.EXACT + settings.LOOSE:
+                for end in ("", "_merged"):
+                    parts = {"{r}": re.escape(label), "{s}": re.escape(split), "*": ".*"}
+                    form = re.compile(re.escape(base) + "/" + "".join(parts.get(p, re.escape(p)) for p in re.split(r"(\{r\}|\{s\}|\*)", pattern)) + end + r"/summary\.json")
+                    found = [x for x in listing if form.fullmatch(x)]
+                    if found:
+                        return min(found)
+        return None
+
+    want = {(m, s): first(label, s) for m, label, s, _ in runs}
+    assert {(x["model"], x["split"]): x["summary"] for x in got.collect()} == want and sum(v is not None for v in want.values()) > 15
