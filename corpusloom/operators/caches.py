@@ -85,11 +85,12 @@ def best_layout(table: DataFrame, layout: str, gap: str, passes: Column) -> Data
 def vocabulary_map(teacher: DataFrame, student: DataFrame) -> DataFrame:
     """From tables (id, bytes as hex): each teacher token's student token, the one with the same bytes or else the longest that begins it.
 
-    A token has few prefixes, so they are exploded and met by an equi-join.
+    A token has few prefixes, so they are exploded and met by an equi-join. Both sides are dealt: their size in a file says little of that of all prefixes, and no table
+    of a vocabulary goes through the driver.
     """
     starts = F.transform(F.sequence(F.lit(2), F.length("hex"), F.lit(2)), lambda n: F.substr("hex", F.lit(1), n))
     prefixes = teacher.filter(F.length("hex") > 0).select(F.col("id").alias("teacher"), F.col("hex").alias("whole"), F.explode(starts).alias("hex"))
-    found = prefixes.join(student.filter(F.length("hex") > 0).groupBy("hex").agg(F.min("id").alias("student")), "hex")
+    found = prefixes.join(student.filter(F.length("hex") > 0).groupBy("hex").agg(F.min("id").alias("student")).hint("merge"), "hex")
     best = found.groupBy("teacher", "whole").agg(F.max_by("student", F.length("hex")).alias("student"), F.max(F.length("hex")).alias("n"))
     return best.select("teacher", "student", (F.col("n") == F.length("whole")).alias("exact"))
 
@@ -97,13 +98,13 @@ def vocabulary_map(teacher: DataFrame, student: DataFrame) -> DataFrame:
 def projected(rows: DataFrame, keys: list[str], token: str, logprob: str, mapping: DataFrame) -> DataFrame:
     """Log-probabilities by teacher token as those by student token: summed where several meet, renormalised over what is mapped.
 
-    Sums are of exp(x - the row's greatest), so nothing underflows; they combine before they move.
+    Sums are of exp(x - the row's greatest), so nothing underflows; they combine before they move. The mapping and the rows' sums grow with the tables, so neither is broadcast.
     """
     top = rows.groupBy(*keys).agg(F.max(logprob).alias("__top"))
-    known = rows.join(mapping.select(F.col("teacher").alias(token), "student"), token).join(top, keys)
+    known = rows.join(mapping.select(F.col("teacher").alias(token), "student").hint("merge"), token).join(top.hint("merge"), keys)
     mass = known.groupBy(*keys, "student").agg(F.sum(F.exp(F.col(logprob) - F.col("__top"))).alias("mass"))
     every = mass.groupBy(*keys).agg(F.sum("mass").alias("__all"))
-    return mass.join(every, keys).select(*keys, "student", F.log(F.col("mass") / F.col("__all")).alias("logprob"))
+    return mass.join(every.hint("merge"), keys).select(*keys, "student", F.log(F.col("mass") / F.col("__all")).alias("logprob"))
 
 
 # --- positions ----------------------------------------------------------------------------------------------------------
