@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.dealt import tasks
 from corpusloom.operators.dedup import dedup
 
 MESSAGE = "array<struct<role:string,content:string>>"
@@ -88,9 +89,12 @@ def paired_prompts_agree(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def cross_fill(items: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Items x questions x answers with <A> and <B> filled, one row for each (topic, question, answer), the first in order.
 
-    items: id, topic, preference, opposite; questions: q_id, q_t; answers: a_id, a_t. The templates are small tables by nature.
+    items: id, topic, preference, opposite; questions: q_id, q_t; answers: a_id, a_t. Of equal templates only the first can be in a row, so each text is filled once;
+    null templates count as one. Items and questions are dealt over all tasks, and of those pairs each meets the answers.
     """
-    rows = items.crossJoin(F.broadcast(questions)).crossJoin(F.broadcast(answers))
+    first = lambda rows, key, text: rows.groupBy(text).agg(F.min(F.struct(key))[key].alias(key))
+    asked = items.crossJoin(first(questions, "q_id", "q_t"))
+    rows = asked.repartition(tasks(asked), *asked.columns).crossJoin(first(answers, "a_id", "a_t"))
     fill = lambda t, a, b: F.replace(F.replace(t, F.lit("<A>"), a), F.lit("<B>"), b)
     a, b = F.col("preference"), F.col("opposite")
     full = rows.select("id", "topic", "preference", "opposite", "q_id", "a_id", fill(F.col("q_t"), a, b).alias("q_t"), fill(F.col("a_t"), a, b).alias("a_t"), fill(F.col("a_t"), b, a).alias("a_t_reversed"))
