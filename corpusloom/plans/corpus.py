@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import arrays as A
 from corpusloom.functions import text as X
 from corpusloom.operators import annotate, chat, dedup
+from corpusloom.sources.io import written
 
 #: Stand-ins for a user's tables, in the vocabulary of the test tables.
 TOPICS = {"pointing": ["that", "this"], "joining": ["with", "from"], "asking": ["which", "what"], "other": ["para", "unge"]}
@@ -338,10 +339,30 @@ SELECT reflected, count(*) AS rows, CAST(sum(least(words, 300)) AS BIGINT) AS to
 """
 
 
+#: Documents of a range in the order of their words; and the words that tell in which range a document is.
+RANGE_ROWS, RANGE_WORDS = 10_000, 32
+
+
 def shared_prefix(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "source", X.whitespace_words(F.col("text")).alias("w"))
-    before = docs.withColumn("p", F.lag("w").over(Window.partitionBy("source").orderBy("w", "doc_id"))).filter("p IS NOT NULL")
-    return before.select("doc_id", A.common_prefix(F.col("p"), F.col("w")).alias("shared")).groupBy("shared").agg(F.count("*").alias("n"))
+    """How many words each document shares with the one before it in its source's order.
+
+    Equal documents are one row with their number. Rows are dealt by ranges of their first words, so no source is in one task; a window gives the neighbours within a
+    range, and the ranges' first and last documents those across them.
+    """
+    docs = t(spark, d, "documents").select("source", X.whitespace_words(F.col("text")).alias("w")).filter("w IS NOT NULL")
+    parts = max(1, -(-docs.count() // RANGE_ROWS))
+    each = docs.groupBy("source", "w").agg(F.count("*").alias("n"))
+    dealt = each.repartitionByRange(parts, F.col("source"), F.slice("w", 1, RANGE_WORDS)).withColumn("part", F.spark_partition_id())
+    own = Window.partitionBy("source", "part").orderBy("w")
+    near = written(dealt, "dealt").withColumns({"p": F.lag("w").over(own), "q": F.lead("w").over(own)})
+    near = near.select("source", "part", F.size("w").alias("size"), (F.col("n") - 1).alias("copies"), F.when(F.col("p").isNotNull(), A.common_prefix(F.col("p"), F.col("w"))).alias("shared"), F.when(F.col("p").isNull(), F.col("w")).alias("first"), F.when(F.col("q").isNull(), F.col("w")).alias("last"))
+    near = written(near, "near")
+    ends = near.filter("first IS NOT NULL OR last IS NOT NULL").groupBy("source", "part").agg(F.first("first", True).alias("first"), F.first("last", True).alias("last"))
+    over = ends.withColumn("p", F.lag("last").over(Window.partitionBy("source").orderBy("part"))).filter("p IS NOT NULL")  # a row a range
+    counts = near.filter("shared IS NOT NULL").select("shared", F.lit(1).cast("long").alias("n"))
+    counts = counts.unionByName(near.filter("copies > 0").select(F.col("size").alias("shared"), F.col("copies").alias("n")))
+    counts = counts.unionByName(over.select(A.common_prefix(F.col("p"), F.col("first")).alias("shared"), F.lit(1).cast("long").alias("n")))
+    return counts.groupBy("shared").agg(F.sum("n").alias("n"))
 
 
 QUERIES = {

@@ -68,3 +68,22 @@ def test_equal_templates_are_filled_once(spark):
     want = {(str(i % 2), q.replace("<A>", f"p{i}").replace("<B>", f"o{i}"), a): (str(i), n, k) for i in range(4) for n, q in (("1", "<A> or <B>?"), (None, "what?")) for a, k in ((f"p{i}", "00000"), (f"not o{i}", "00001"))}
     assert rows == want
     assert "hint" not in plan(got) and got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3  # templates shrink before they meet items
+
+
+def test_shared_prefixes_over_ranges(spark, monkeypatch, tmp_path):
+    """A source goes over several ranges, copies and null sources too: the same counts as over one order."""
+    from collections import Counter
+
+    from corpusloom.plans import corpus
+
+    monkeypatch.setattr(corpus, "RANGE_ROWS", 9, raising=True)
+    monkeypatch.setattr(corpus, "RANGE_WORDS", 2)
+    r = random.Random(6)
+    rows = [(i, r.choice(["s", "t", None]), " ".join(r.choice("abc") for _ in range(r.randint(0, 6))) if i % 11 else None) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for source in ("s", "t", None):
+        texts = sorted(x.split() for _, s, x in rows if s == source and x is not None)
+        for a, b in zip(texts, texts[1:], strict=False):
+            want[next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))] += 1
+    assert {x["shared"]: x["n"] for x in corpus.shared_prefix(spark, str(tmp_path)).collect()} == want
