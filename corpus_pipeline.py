@@ -25,7 +25,7 @@ def exact_stage(spark, docs, sf_dir):
 
 
 def near_stage(spark, docs, sf_dir):
-    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    """One document of each group of near copies: SimHash links as in op3, checked on five-word shingles (similarity of 0.8 or more), and by a prefix join those that fingerprints miss."""
     return near_dedup.keep_near(docs)
 
 

@@ -1,19 +1,22 @@
 """Near-duplicate removal: five-word shingles and a Jaccard similarity of 0.8 or more, exact.
 
-Every pair at the similarity is found, by a prefix-filtered join of shingle sets:
+Fingerprints as op3 has them come first; a prefix-filtered join of shingle sets then finds every other pair at the similarity:
 
-1. All sets are put in one order of shingles, the common ones last (a sample of documents says which; any order is right, this one
+1. SimHash: documents of one fingerprint, and of fingerprints that its blocks find within 3 bits, are linked as in op3, by as many
+   links as members. A link holds if the whole sets have the similarity, and links that hold make the first groups. Only what is not
+   in one group yet is looked at from here on.
+2. All sets are put in one order of shingles, the common ones last (a sample of documents says which; any order is right, this one
    only keeps buckets small). Two sets of n and m shingles at similarity s share one among the first n - ceil(s * n) + 1 of the
    one and m - ceil(s * m) + 1 of the other, so each document stands in one bucket for each shingle of that prefix.
-2. A bucket's members stand in the order of their least shingles, so that copies are neighbours in all the buckets that they share.
+3. A bucket's members stand in the order of their least shingles, so that copies are neighbours in all the buckets that they share.
    Neighbours are verified on their whole sets, and verified links are joined into groups. In a large group of copies that settles
    nearly all members without all their pairs.
-3. Every other pair of a bucket whose members are not in one group yet, and which sizes, places in the prefix and signatures do
+4. Every other pair of a bucket whose members are not in one group yet, and which sizes, places in the prefix and signatures do
    not rule out, is a candidate. For ROUNDS rounds each member's closest candidate alone is verified, and groups are joined anew:
    as many pairs as members, however large a family of copies is. What candidates are left then are all looked at: first the closest
    of each two groups, then those whose members are still not in one group. Pairs that are left out are linked already, or below
    the similarity.
-4. One document of each connected group stays: the smallest id.
+5. One document of each connected group stays: the smallest id.
 
 A signature holds a bit for each of at least twice as many places as a set has shingles: the parity of those that fall there. Two
 signatures differ in no more bits than their sets in shingles, so most pairs below the similarity never move as sets.
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import free_name, lean, materialize, parallelism, small_batches, text_of
 from corpusloom.llm.components import components
-from corpusloom.llm.simhash import shingle_hashes, word_list
+from corpusloom.llm.simhash import fingerprints, linked, shingle_hashes, word_list
 
 WORDS, SIMILARITY = 5, 0.8
 #: Documents whose shingles are counted to tell common ones, the count that makes one common, and how many are named at most. Only the
@@ -190,6 +193,20 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter("ca <> cb").select(*pairs.columns, F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
 
 
+def print_links(rows: DataFrame) -> DataFrame:
+    """Links (a < b) of rows (node, text) by op3's fingerprints: each node with the one before it of its fingerprint, and close fingerprints by the least node of each.
+
+    Their groups are those of all pairs of close fingerprints. Texts without words are in none.
+    """
+    each = fingerprints(rows.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")), "node").select("fp", F.col("doc_id").alias("node"))
+    each = materialize(each, "fingerprints")
+    before = F.lag("node").over(Window.partitionBy("fp").orderBy("node"))
+    same = each.select(before.alias("a"), F.col("node").alias("b"))
+    close = linked(materialize(each.groupBy("fp").agg(F.min("node").alias("node")), "distinct-prints"))
+    both = same.unionByName(close).filter("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs (a, b, jaccard) whose connected groups are those of all pairs at the similarity."""
     spark = docs.sparkSession
@@ -205,7 +222,9 @@ def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     most = F.least(F.col("n") - F.col("pos"), F.col("last.n") - F.col("last.pos"))  # shingles in common, if this is the first of both
     close = shared.filter("last.node <> node").filter(most >= (F.col("n") + F.col("last.n")) * (similarity / (1 + similarity)) - 1e-6)
     chain = close.select(F.least("last.node", "node").alias("a"), F.greatest("last.node", "node").alias("b")).distinct()
-    first = _verified(_possible(chain, signs, similarity, "chain-candidates"), rows, words, similarity, "chain")
+    found = _verified(_possible(print_links(rows), signs, similarity, "print-candidates"), rows, words, similarity, "linked")
+    chain = _labelled(chain, components(found.select("a", "b"))).select("a", "b")
+    found = found.unionByName(_verified(_possible(chain, signs, similarity, "chain-candidates"), rows, words, similarity, "chain"))
     brief = prints.select("node", "n", F.col("brief").alias("sign"))
 
     def candidates(labels: DataFrame, closest: bool, what: str) -> DataFrame:
@@ -215,7 +234,6 @@ def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
         dealt = placed.join(mixed, "w", "left_semi").join(brief, ["node", "n"]).select("w", "n", "pos", "node", "component", "sign").repartition(parallelism(spark), "w").sortWithinPartitions("w", "n", "node")
         return _possible(dealt.mapInArrow(lean(_pairs(similarity, closest)), "a long, b long").filter("a <> b").distinct(), signs, similarity, what)
 
-    found = first
     for k in range(ROUNDS):
         near = candidates(components(found.select("a", "b")), True, f"near-{k}")
         if not near.limit(1).count():

@@ -514,6 +514,45 @@ def test_near_copies_with_a_passage_added_cut_or_edited(spark):
     assert len(want) < 125 and sorted(x["doc_id"] for x in left.collect()) == want
 
 
+def test_near_copies_come_by_fingerprints_first(spark, monkeypatch):
+    """The near stage's first links are those of op3's fingerprints, by brute force; those at the similarity are groups before the prefix join looks."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for i in range(40):
+        base = r.choice(words, 400).tolist()
+        texts[4 * i] = " ".join(base)
+        texts[4 * i + 1] = "  ".join(base)  # the same words: the same fingerprint
+        texts[4 * i + 2] = " ".join([*base[:-1], "changed"])
+        texts[4 * i + 3] = " ".join(base[: 380 - i])
+    rows = [*texts.items(), (900, ""), (901, " ")]
+    given = spark.createDataFrame(rows, "node long, text string")
+    links = [(x["a"], x["b"]) for x in near_dedup.print_links(given).collect()]
+    fps = {i: simhash.fingerprint(simhash.shingle_hashes(simhash.word_list(t), simhash.WORDS)) for i, t in texts.items()}
+
+    def groups(pairs):
+        own = {i: {i} for i in texts}
+        for a, b in pairs:
+            if own[a] is not own[b]:
+                own[a] |= own[b]
+                for i in own[b]:
+                    own[i] = own[a]
+        return {frozenset(x) for x in own.values()}
+
+    close = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.BITS]
+    assert groups(links) == groups(close) and all(a < b for a, b in links) and 40 < len(links) < len(texts) * 20
+    seen, possible = [], near_dedup._possible
+    monkeypatch.setattr(near_dedup, "_possible", lambda pairs, signs, similarity, what: seen.append((what, {tuple(p) for p in pairs.select("a", "b").collect()})) or possible(pairs, signs, similarity, what))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()
+    assert sorted(x["doc_id"] for x in left) == sorted([*groups_by_brute_force(texts), 900, 901])
+    assert seen[0][0] == "print-candidates" and seen[0][1] == set(links)
+    same = {(4 * i, 4 * i + 1) for i in range(40)}
+    assert same <= seen[0][1] and not any(same & pairs for _, pairs in seen[1:])  # settled before the prefix join
+
+
 def test_licenses_at_every_width(spark):
     """Each known text, wrapped at all widths, with a copyright line of its own."""
     import textwrap
