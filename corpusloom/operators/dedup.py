@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,13 +124,16 @@ def greedy_near(rows: DataFrame, key: str, items: str, order: str, limit: float)
     return out.select(F.col("k").alias(key), "kept", F.when(~F.col("kept"), F.col("like")).alias("like"))
 
 
+def _idf(base: DataFrame, terms: str) -> DataFrame:
+    """(term, idf): ln((1 + N) / (1 + df)) + 1 over the rows of base."""
+    total = base.agg(F.count("*").alias("N"))
+    df = base.select(F.explode(F.array_distinct(F.col(terms))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(total)).select("term", (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
+
+
 def tfidf(docs: DataFrame, key: str, terms: str, corpus: DataFrame | None = None, corpus_terms: str | None = None) -> DataFrame:
     """(key, term, weight): tf * (ln((1 + N) / (1 + df)) + 1), unit length; unseen terms have an idf of 1."""
-    base = corpus if corpus is not None else docs
-    of = corpus_terms or terms
-    total = base.agg(F.count("*").alias("N"))
-    df = base.select(F.explode(F.array_distinct(F.col(of))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
+    idf = _idf(corpus if corpus is not None else docs, corpus_terms or terms)
     tf = docs.select(F.col(key).alias("key"), F.explode(terms).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     raw = tf.join(idf, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
     norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -180,23 +184,98 @@ def best_match(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
     spark, kind = a.sparkSession, a.schema["key"].dataType.simpleString()
     some = a.join(b.select("term").distinct(), "term", "left_semi")  # other terms add nothing
     own = written(some.groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")), "vectors")  # of one document
-    vectors = written(b.select(F.col("key").cast("long").alias("match"), "term", "weight"), "searched")
-    blocks = max(1, -(-vectors.select("match").distinct().count() // BLOCK_KEYS))
-    found = None
+
+    def scored(_, matches, vocabulary, matrix):
+        shared = spark.sparkContext.broadcast((vocabulary, matrix, matches))
+        return own.mapInArrow(lambda x: _matches(*shared.value, digits)(x), f"key {kind}, match long, cosine double")
+
+    return _over_blocks(written(b.select(F.col("key").cast("long").alias("match"), "term", "weight"), "searched"), scored)
+
+
+#: Terms of the searched side, with their idf, that a task holds at most; of more, documents' terms meet them in joins. Rows whose terms are counted at once.
+VOCABULARY, COUNTED = 1 << 18, 1000
+
+
+def _counted(vocabulary: list, idf: np.ndarray, place: np.ndarray, matrix: np.ndarray, matches: list, digits: int):
+    """The best of a block for each row (key, terms) that shares a term with it. place: the row of the matrix of each term of the vocabulary, or -1."""
+
+    def best(rows: pa.RecordBatch, terms: pa.Array) -> tuple[list, list, list]:
+        lists, many = rows.column(1), len(vocabulary)
+        coded = lists.flatten().dictionary_encode()
+        known = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms), -1).to_numpy().astype(np.int64)
+        number = np.where(known >= 0, known, many + np.arange(len(known)))  # terms that the vocabulary lacks count in the length
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        wide = many + len(known) + 1
+        pair, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * wide + number[coded.indices.to_numpy()], return_counts=True)
+        row, term = np.divmod(pair, wide)
+        weight = tf * np.append(idf, 1.0)[np.minimum(term, many)]
+        length = np.sqrt(np.bincount(row, weight * weight, minlength=len(sizes)))
+        at = np.append(place, -1)[np.minimum(term, many)]
+        row, weight, at = (x[at >= 0] for x in (row, weight / length[row], at))
+        kept, starts = np.unique(row, return_index=True)
+        found, cosine = [], []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True):
+            raw = weight[s:e] @ matrix[at[s:e]]
+            score = np.where(raw > 0, np.round(raw, digits), -np.inf)  # weights are positive: 0 shares no term
+            j = int(score.argmax())  # the first of equals: matches stand in order
+            found.append(matches[j])
+            cosine.append(float(score[j]))
+        return kept.tolist(), found, cosine
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pa.array(vocabulary, pa.string())
+        for batch in batches:
+            for some in (batch.slice(a, COUNTED) for a in range(0, batch.num_rows, COUNTED)):
+                kept, found, cosine = best(some, terms)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(kept, pa.int64())), pa.array(found, pa.int64()), pa.array(cosine, pa.float64())], names=["key", "match", "cosine"])
+
+    return run
+
+
+def _over_blocks(vectors: DataFrame, scored) -> DataFrame:
+    """The best (key, match, cosine) over the blocks of the searched vectors (match, term, weight); scored(blocks, matches, vocabulary, matrix) has those of one."""
+    blocks, found = max(1, -(-vectors.select("match").distinct().count() // BLOCK_KEYS)), None
     for k in range(blocks):
         rows = vectors.filter(F.pmod(F.xxhash64("match"), F.lit(blocks)) == k).collect()  # one block
         matches = sorted({r["match"] for r in rows})
         place = {m: i for i, m in enumerate(matches)}
-        vocabulary, matrix = dense([(place[r["match"]], r["term"], r["weight"]) for r in rows], len(matches))
-        shared = spark.sparkContext.broadcast((vocabulary, matrix, matches))
-        own_best = own.mapInArrow(lambda x, shared=shared: _matches(*shared.value, digits)(x), f"key {kind}, match long, cosine double")
-        found = own_best if found is None else found.unionByName(own_best)
+        own = scored(blocks, matches, *dense([(place[r["match"]], r["term"], r["weight"]) for r in rows], len(matches)))
+        found = own if found is None else found.unionByName(own)
     if blocks == 1:
         return found
     best = found.groupBy("key").agg(F.max(F.struct("cosine", (-F.col("match")).alias("m"))).alias("x"))
     return best.select("key", (-F.col("x.m")).alias("match"), F.col("x.cosine").alias("cosine"))
 
 
+def tfidf_match(docs: DataFrame, key: str, terms: str, items: DataFrame, item_key: str, item_terms: str, digits: int = 9) -> DataFrame:
+    """best_match of the TF-IDF vectors of docs, by the idf of items, with those of items.
+
+    A document's terms are counted and weighed where its row is read, so none of them moves. Rows that share a key are put together first; rows without one have no match.
+    """
+    weights = tfidf(items, item_key, item_terms)
+    idf = written(_idf(items, item_terms), "idf")
+    if idf.count() > VOCABULARY:
+        return best_match(tfidf(docs, key, terms, items, item_terms), weights, digits)
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(terms).alias("terms"))
+    if docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        rows = rows.groupBy("key").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    known = sorted((r["term"], r["idf"]) for r in idf.collect())  # at most VOCABULARY
+    vocabulary, each = [t for t, _ in known], np.array([w for _, w in known], float)
+    number = {t: i for i, t in enumerate(vocabulary)}
+    spark, schema = docs.sparkSession, f"key {rows.schema['key'].dataType.simpleString()}, match long, cosine double"
+    held = {}
+
+    def scored(blocks, matches, block, matrix):
+        place = np.full(len(vocabulary), -1)
+        place[[number[t] for t in block]] = list(block.values())
+        shared = spark.sparkContext.broadcast((vocabulary, each, place, matrix, matches))
+        if blocks > 1 and not held:
+            held["rows"] = written(rows, "terms")
+        return held.get("rows", rows).mapInArrow(lambda x: _counted(*shared.value, digits)(x), schema)
+
+    return _over_blocks(written(weights.select(F.col("key").cast("long").alias("match"), "term", "weight"), "searched"), scored)
+
+
 def _gram_hashes(tokens: Column, n: int) -> Column:
     """A hash of each n-gram, from the words' own hashes."""
     hashes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))

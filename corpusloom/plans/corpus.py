@@ -206,8 +206,7 @@ def greedy_neardup(spark, d):
 def tfidf_top1(spark, d):
     items = t(spark, d, "benchmark").withColumn("terms", X.content_words(F.col("text"), STOP))
     docs = t(spark, d, "documents").withColumn("terms", X.content_words(F.col("text"), STOP))
-    weights = dedup.tfidf(items, "item_id", "terms")
-    return dedup.best_match(dedup.tfidf(docs, "doc_id", "terms", items, "terms"), weights, 6).select(F.col("key").alias("doc_id"), "match", "cosine")
+    return dedup.tfidf_match(docs, "doc_id", "terms", items, "item_id", "terms", 6).select(F.col("key").alias("doc_id"), "match", "cosine")
 
 
 _TERMS = "list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]+'), lambda w: length(w) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP) + "], w))"

@@ -161,3 +161,39 @@ def test_phrase_starts_by_brute_force(spark):
     want = [[i for i in range(len(t)) if p and t.lower().startswith(p, i) and not word(t[i - 1 : i] if i else "") and not word(t[i + len(p) : i + len(p) + 1])] for t, p in rows]
     got = spark.createDataFrame(rows, "t string, p string").select(probes.phrase_starts(F.col("t"), F.col("p")).alias("s")).collect()
     assert [x["s"] for x in got] == want
+
+
+@pytest.mark.parametrize("keys,vocabulary,again", [(256, 1 << 18, False), (3, 1 << 18, True), (256, 5, True)])
+def test_tfidf_match_by_brute_force(spark, monkeypatch, keys, vocabulary, again):
+    """Several blocks, a vocabulary that is too large for a task, keys that repeat, null and empty terms; no document's term moves where keys are single."""
+    import random
+    from collections import Counter
+    from math import log, sqrt
+
+    monkeypatch.setattr(dedup, "BLOCK_KEYS", keys)
+    monkeypatch.setattr(dedup, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(dedup, "COUNTED", 7)
+    r = random.Random(3)
+    draw = lambda words, n: [r.choice(words) for _ in range(r.randint(0, n))]
+    items = [(i, draw("abcdefgh", 6)) for i in range(11)] + [(90, None)]
+    docs = [(f"d{i}", draw("abcdefghxyz", 30)) for i in range(40)] + [("none", None), ("odd", ["x", "y"]), (None, ["a"])] + ([("d1", ["a", "a"]), ("d2", None)] if again else [])
+    n, df = len(items), Counter(t for _, ts in items for t in set(ts or []))
+    whole = {}
+    for k, ts in docs:
+        whole.setdefault(k, Counter()).update(ts or [])
+
+    def vector(terms):
+        w = {t: c * (log((n + 1) / (df[t] + 1)) + 1 if t in df else 1.0) for t, c in terms.items()}
+        return {t: x / sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+
+    b, want = {i: vector(Counter(ts or [])) for i, ts in items}, {}
+    for k, terms in whole.items():
+        a = vector(terms)
+        scores = sorted((-round(sum(a[t] * v[t] for t in a.keys() & v.keys()), 6), i) for i, v in b.items() if a.keys() & v.keys())
+        if scores and k is not None:
+            want[k] = (scores[0][1], -scores[0][0])
+    table = spark.createDataFrame(docs, "k string, w array<string>")
+    got = dedup.tfidf_match(table, "k", "w", spark.createDataFrame(items, "i long, w array<string>"), "i", "w", 6)
+    assert {x["key"]: (x["match"], round(x["cosine"], 6)) for x in got.collect()} == want
+    if not again:
+        assert "Exchange" not in got._jdf.queryExecution().toString()
