@@ -38,31 +38,42 @@ def in_turn(rows: DataFrame, keys: list[str]) -> DataFrame:
     return marked.withColumn("__good", F.min(F.col("__good").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)) == 1).filter("__good").drop("__good")
 
 
+def _standing(rows: DataFrame, at: DataFrame, fields: list[str]) -> DataFrame:
+    """The rows that at has too, by card_id and fields. What at has of a card is little, so it is one row; all meet by card alone, and stay dealt by it for what follows."""
+    some = F.struct(*fields)
+    known = lambda df: df.filter(" AND ".join(f"{f} IS NOT NULL" for f in fields))
+    own = known(at).groupBy("card_id").agg(F.collect_set(some).alias("__at"))
+    return known(rows).join(own, "card_id").filter(F.array_contains("__at", some)).drop("__at")
+
+
 def held_openings(openings: DataFrame, cards: DataFrame, prompt_sha: str | None = None) -> DataFrame:
     """Logged openings whose card and prompt are unchanged, in turn."""
-    rows = openings.join(cards.select("card_id", "card_sha"), ["card_id", "card_sha"], "left_semi")
+    rows = _standing(openings, cards, ["card_sha"])
     return in_turn(rows.filter(F.col("prompt_sha") == prompt_sha) if prompt_sha else rows, ["card_id"])
 
 
-def held_branches(branches: DataFrame, cards: DataFrame, openings: DataFrame, prompt_sha: str | None = None) -> DataFrame:
-    """Logged branches whose card and prompt are unchanged and whose opening is the one that stands at its place, by content."""
-    at = openings.select("card_id", F.col("attempt").alias("opening"), content_sha(F.col("prefix")).alias("opening_sha"))
-    rows = branches.join(cards.select("card_id", "card_sha"), ["card_id", "card_sha"], "left_semi").join(at, ["card_id", "opening", "opening_sha"], "left_semi")
+def held_branches(branches: DataFrame, openings: DataFrame, prompt_sha: str | None = None) -> DataFrame:
+    """Logged branches whose card and prompt are unchanged and whose opening is the one that stands at its place, by content.
+
+    openings are held ones, so a branch of an opening's card is of a card that is unchanged.
+    """
+    at = openings.select("card_id", "card_sha", F.col("attempt").alias("opening"), content_sha(F.col("prefix")).alias("opening_sha"))
+    rows = _standing(branches, at, ["card_sha", "opening", "opening_sha"])
     return in_turn(rows.filter(F.col("prompt_sha") == prompt_sha) if prompt_sha else rows, ["card_id", "opening", "branch"])
 
 
-def held_checks(checks: DataFrame, cards: DataFrame, branches: DataFrame) -> DataFrame:
-    """The last check of each branch attempt that stands, if the text it read is the one that stands there."""
-    at = branches.select("card_id", "opening", "branch", "attempt", content_sha(F.col("text")).alias("branch_sha"))
-    rows = checks.join(cards.select("card_id", "card_sha"), ["card_id", "card_sha"], "left_semi").join(at, at.columns, "left_semi")
+def held_checks(checks: DataFrame, branches: DataFrame) -> DataFrame:
+    """The last check of each branch attempt that stands (branches are held ones), if the text it read is the one that stands there."""
+    at = branches.select("card_id", "card_sha", "opening", "branch", "attempt", content_sha(F.col("text")).alias("branch_sha"))
+    rows = _standing(checks, at, ["card_sha", "opening", "branch", "attempt", "branch_sha"])
     return dedup(rows, ["card_id", "opening", "branch", "attempt"], ["_seq"], "last")
 
 
 def replayed(cards: DataFrame, openings: DataFrame, branches: DataFrame, checks: DataFrame, prompts: tuple[str | None, str | None] = (None, None)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three logs as of now: only what still holds."""
     o = held_openings(openings, cards, prompts[0])
-    b = held_branches(branches, cards, o, prompts[1])
-    return o, b, held_checks(checks, cards, b)
+    b = held_branches(branches, o, prompts[1])
+    return o, b, held_checks(checks, b)
 
 
 # --- states, and what is due -----------------------------------------------------------------------------------------------

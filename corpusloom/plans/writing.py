@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import writer as W
 from corpusloom.plans.corpus import t
-from corpusloom.sources.io import scratch
+from corpusloom.sources.io import scratch, written
 from corpusloom.streaming.rounds import Rounds, Stage
 
 MOST = 2
@@ -17,8 +17,12 @@ _BRANCH = "card_id long, card_sha string, prompt_sha string, opening int, openin
 _CHECK = "card_id long, card_sha string, opening int, branch string, attempt int, branch_sha string, passed boolean"
 
 
+#: A card's sentences that a try of an opening or of a branch can take: the last is that of the last try of the second branch.
+SENTENCES = 3 + 2 * MOST
+
+
 def _sentence(i):
-    return F.coalesce(F.get(F.split("card", r"[.!?]\s*", -1), i), F.lit(""))
+    return F.coalesce(F.get("card", i), F.lit(""))
 
 
 def _words(c):
@@ -26,12 +30,14 @@ def _words(c):
 
 
 def _cards(spark, d):
-    return t(spark, d, "documents").select(F.col("doc_id").alias("card_id"), F.col("doc_id").alias("position"), F.sha2("text", 256).alias("card_sha"), F.col("text").alias("card"))
+    """A card is what the rules look at of a document: its first sentences. Rounds join cards again and again, so whole texts would move each time."""
+    card = F.slice(F.split("text", r"[.!?]\s*", -1), 1, SENTENCES)
+    return t(spark, d, "documents").select(F.col("doc_id").alias("card_id"), F.col("doc_id").alias("position"), W.content_sha(F.col("text")).alias("card_sha"), card.alias("card"))
 
 
 def _stages(cards):
     def held(tables):
-        return W.replayed(cards, tables["openings"], tables["branches"], tables["checks"])
+        return W.replayed(cards, tables["openings"].drop("prompt_sha"), tables["branches"].drop("prompt_sha"), tables["checks"])
 
     def sides(tables):
         o, b, c = held(tables)
@@ -55,7 +61,7 @@ def _stages(cards):
 
 def _written(spark, d):
     """The accepted pairs after rounds over all documents."""
-    cards = _cards(spark, d)
+    cards = written(_cards(spark, d), "cards")
     job = Rounds(spark, scratch(spark, "rounds"), _stages(cards))
     job.run()
     logs = job.tables()

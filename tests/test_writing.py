@@ -118,3 +118,18 @@ def test_offsets_are_those_of_a_search(spark):
         assert "".join(text[s["start"] : s["end"]] for s in r["w"]["spans"]) == text
     back = made.select(writer.part_at(F.col("w"), F.col("w.choice_char") + 3).alias("p"), writer.part_at(F.col("w"), F.lit(10_000)).alias("q")).collect()
     assert {(r["p"]["name"], r["p"]["at"], r["q"]) for r in back} == {("option", 3, None)}
+
+
+def test_rounds_carry_sentences_not_texts(spark, tmp_path):
+    """A card is as small as what the rules look at, however long its text; cards and logs are dealt once each; a null text ends like any other."""
+    long = "This opening has more than eight words in it, all told. " * 3 + "One more sentence that says a few things to the reader. " * 2000
+    docs = spark.createDataFrame([(1, long), (2, None), (3, ""), (4, "short. " * 9)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    cards = writing._cards(spark, str(tmp_path))
+    assert max(sum(map(len, r["card"])) for r in cards.filter("card IS NOT NULL").collect()) < 1000 and cards.filter("card_sha IS NULL").count() == 0
+    job = Rounds(spark, f"file://{tmp_path}/job", writing._stages(cards))
+    assert job.run(most=6)["finished"]
+    logs = job.tables()
+    held = writer.replayed(cards, logs["openings"], logs["branches"], logs["checks"])
+    assert [h.count() for h in held] == [logs["openings"].count(), logs["branches"].count(), logs["checks"].count()] == [7, 2, 2]
+    assert [r["pair_id"] for r in writing.document_rounds(spark, str(tmp_path)).collect()] == [1]
