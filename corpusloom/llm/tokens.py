@@ -119,16 +119,14 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
-        self.tokenizer.encode_special_tokens = not special
         self.rule, self.limit, self.part_bytes = _rule(spec), memo_words, part_bytes
         tokens = sorted({t["content"]: t["id"] for t in spec.get("added_tokens") or []}.items(), key=lambda t: -len(t[0]))
         self.special = dict(tokens) if special and self.rule != "whole" else {}
         self.cut_special = re.compile("(" + "|".join(re.escape(t) for t in self.special) + ")") if self.special else None
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+        self.spaced = np.zeros(self.plain.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.plain.get_vocab().items() if t.startswith("Ġ")]] = True
         mark = self.plain.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else -1
         self.memo: dict[bytes, int] = {}
