@@ -44,6 +44,32 @@ def test_dominance_by_brute_force(spark, monkeypatch, least):
     assert "Broadcast" not in plan(got) and got.rdd.getNumPartitions() >= 4  # one small file is not one task
 
 
+@pytest.mark.parametrize("side,members", [(16384, 256), (7, 2)])
+def test_dominance_between_slices(spark, monkeypatch, side, members):
+    """Slices of a block, copied keys and missing ranks and blocks: each pair once for each of its rows."""
+    monkeypatch.setattr(validate, "SIDE", side, raising=True)
+    monkeypatch.setattr(validate, "MEMBERS", members)
+    r = random.Random(side)
+    rows = [(None, "z", 1, 1.0)] + [(i // 2 if i < 8 else i, r.choice(["x", "x", "y", None]), r.choice([None, 1, 2]), r.choice([1.0, 2.0, float("nan")])) for i in range(90)]
+    got = validate.dominance_pairs(spark.createDataFrame(rows, "k long, g string, p int, q double"), "k", ["p", "q"], ["g"], 1)
+    rank = lambda x: float("inf") if x != x else x
+    want = []
+    for a in rows:
+        for b in rows:
+            better = None not in (a[1], a[2], b[2]) and (a[2] > b[2]) + (rank(a[3]) > rank(b[3]))
+            if better and a[0] != b[0] and a[1] == b[1] and a[2] >= b[2] and rank(a[3]) >= rank(b[3]):
+                want.append((a[0], b[0], better))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_dominance_pairs_take_little_disk(spark, tmp_path):
+    """The result is all pairs, so their order decides what files of it take: runs of one a with the same few b's."""
+    rows = spark.range(12600).select(F.col("id").alias("k"), F.lit("x").alias("g"), (F.col("id") < 600).cast("int").alias("p"))
+    validate.dominance_pairs(rows, "k", ["p"], ["g"], 1).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 600 * 12000
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.4 * 600 * 12000
+
+
 @pytest.mark.parametrize("block,look", [(1024, 8), (5, 8), (40, 1)])
 def test_drawn_passages_by_brute_force(spark, monkeypatch, block, look):
     monkeypatch.setattr(cards, "BLOCK", block)
