@@ -85,6 +85,26 @@ def test_drawn_passages_by_brute_force(spark, monkeypatch, block, look):
     assert {x["card"]: x["passages"] for x in got.collect()} == want and "Broadcast" not in plan(got)
 
 
+@pytest.mark.parametrize("block,look", [(16384, 4), (7, 1)])
+def test_drawn_passages_compiled_and_in_place(spark, monkeypatch, block, look):
+    """Pairs are hashed in compiled code and chosen where they are made; copied cards and cards without a hash below the limit are whole."""
+    monkeypatch.setattr(cards, "BLOCK", block)
+    monkeypatch.setattr(cards, "LOOK", look)
+    monkeypatch.setattr(cards, "TASK_PAIRS", 500, raising=True)
+    some = [(i // 2 if i < 10 else i, "ab"[i % 2]) for i in range(200)] + [(0, "b"), (0, "c")]
+    passages = [(100 + i, "ab"[i % 2], -i) for i in range(60)] + [(900, "c", 1), (None, "a", 2)]
+    got = cards.drawn(spark.createDataFrame(some, "card long, kind string"), "card", "kind", spark.createDataFrame(passages, "id long, kind string, line int"), "id", "line", 3, 7)
+    pairs = {}
+    for card, kind in some:
+        pairs.setdefault(card, []).extend((hashlib.sha256(f"7:passages:{card}:{i}".encode()).hexdigest(), line, i) for i, k, line in passages if k == kind and i is not None)
+    want = {card: [i for line, i in sorted((line, i) for _, line, i in sorted(own)[:3])] for card, own in pairs.items()}
+    assert {x["card"]: x["passages"] for x in got.collect()} == want
+    text = plan(got)
+    assert "Broadcast" not in text and "Generate posexplode" in text
+    looked = text[: text.index("Generate posexplode")].rsplit("Exchange", 1)[-1]
+    assert looked.count("ObjectHashAggregate(keys=[__kind") == 2  # no exchange between the pairs and the choice
+
+
 def test_equal_templates_are_filled_once(spark):
     items = spark.createDataFrame([(str(i), str(i % 2), f"p{i}", f"o{i}") for i in range(4)], "id string, topic string, preference string, opposite string")
     questions = spark.createDataFrame([("2", "<A> or <B>?"), ("1", "<A> or <B>?"), (None, "what?"), ("3", "what?")], "q_id string, q_t string")
